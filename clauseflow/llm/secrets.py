@@ -146,8 +146,11 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the fixed forms, the hash of their list, and the list of all spans."""
     spans = F.col("secrets")
     base = F.filter(spans, lambda s: s["kind"] != MODEL)
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return find_secrets(docs.select("doc_id", "text")).select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return find_secrets(docs.select("doc_id", "text")).select("doc_id", *map(count, KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
