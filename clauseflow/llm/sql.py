@@ -45,3 +45,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM flagged LEFT JOIN fences ON lang IS NOT DISTINCT FROM l AND source IS NOT DISTINCT FROM s
 """
 
+
+
+def _pii_sql() -> str:
+    """Base and added kinds with their positions, without the guards that only save time."""
+    # Fixed values, as in pii.py: kind, pattern, test of the match m, and for added kinds score, lift and context words.
+    digits, plain = "regexp_replace(m, '[^0-9]', '', 'g')", "regexp_replace(m, '[^A-Z0-9]', '', 'g')"
+    figure = f"substr({digits}, (length({digits}) - i)::BIGINT, 1)::INT"
+    luhn = f"list_sum(list_transform(range(0, length({digits})), lambda i: CASE WHEN i % 2 = 1 THEN 2 * {figure} - CASE WHEN {figure} > 4 THEN 9 ELSE 0 END ELSE {figure} END)) % 10 = 0"
+    turned = f"substr({plain}, 5) || substr({plain}, 1, 4)"
+    mod97 = f"list_reduce(list_transform(string_split({turned}, ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END), lambda a, x: CASE WHEN x >= 10 THEN (a * 100 + x) % 97 ELSE (a * 10 + x) % 97 END) % 97 = 1"
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "TRUE", None),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(m, '.'), lambda p: p::HUGEINT)) <= 255", None),
+        ("card", r"[0-9]([\x20-]?[0-9])+", f"length({digits}) BETWEEN 14 AND 19 AND {luhn}", None),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 10 AND 15", None),
+        ("iban", r"\b[A-Z][A-Z][0-9][0-9](\x20?[A-Z0-9]){11,30}\b", mod97, (0.8, 0.2, "iban|account|konto|compte|cuenta")),
+        ("ssn", r"\b[0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]\b", "TRUE", (0.3, 0.6, "ssn|social security")),
+        ("local_phone", r"\b[0-9][0-9][0-9][\x20.-][0-9][0-9][0-9][\x20.-][0-9][0-9][0-9][0-9]\b", "TRUE", (0.3, 0.5, "tel|phone|call|fax|mobil")),
+    ]
+    parts = []
+    for rank, (kind, pattern, valid, added) in enumerate(kinds):
+        keep = f"CASE WHEN regexp_matches(lower(substr(t, greatest(e - length(m) - 39, 1), least(e - length(m), 40))), '\\b(?:{added[2]})') THEN {added[0] + added[1]} ELSE {added[0]} END >= 0.5" if added else "TRUE"
+        parts.append(f"""
+  SELECT doc_id, {rank} AS rank, '{kind}' AS kind, (e - length(m))::BIGINT AS s, e::BIGINT AS e FROM (
+    SELECT doc_id, t, m, (sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e FROM (
+      SELECT doc_id, t, i, ms[i] AS m, gs[i] AS g FROM (
+        SELECT doc_id, t, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (
+          SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS gs FROM docs)))
+  ) WHERE ({valid}) AND {keep}""")
+    return (
+        "WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS (" + "\n  UNION ALL".join(parts) + r"""
+), kept AS (
+  SELECT * FROM found f WHERE rank < 4 OR NOT EXISTS (SELECT 1 FROM found b WHERE b.rank < 4 AND b.doc_id = f.doc_id AND f.s < b.e AND b.s < f.e)
+), per AS (
+  SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM kept GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN per USING (doc_id)
+"""
+    )
+
+
+SQL["op6_personal_data"] = _pii_sql()
