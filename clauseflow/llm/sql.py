@@ -100,3 +100,26 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN '
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
+
+SQL["op4_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, ws, least(10, len(ws)) AS w
+  FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark)
+  WHERE len(ws) > 0
+), bw AS (
+  SELECT DISTINCT item, w, array_to_string(ws[j:j+w-1], ' ') AS k FROM (SELECT item, w, ws, unnest(range(1, len(ws) - w + 2)) AS j FROM b)
+), dw AS (
+  SELECT doc_id, w, i, array_to_string(ws[i:i+w-1], ' ') AS k FROM (SELECT doc_id, w, ws, unnest(range(1, len(ws) - w + 2)) AS i FROM d, (SELECT DISTINCT w FROM b))
+), m AS (
+  SELECT doc_id, i, w, item FROM dw JOIN bw USING (w, k)
+), hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + w)) AS p FROM m) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
