@@ -23,7 +23,7 @@ BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5, 6)
 PASSAGE, STRIDE = 16, 8
 EPOCHS, RATE, BATCH, SEED = 20, 14.0, 8, 7
 #: The model is learned from at most this many labelled documents (those with the smallest hash of doc_id), read whole.
-MAX_SAMPLE = 4000
+MAX_SAMPLE = 3000
 THRESHOLD = 0.3
 CHUNK_CHARS = 1 << 18
 _BLANK = 32
@@ -107,6 +107,49 @@ def scores(texts: list[str], gains: np.ndarray, bias: float) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z + bias, -60, 60)))
 
 
+def _vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word number and row of every word, buckets of each distinct word in one flat array, where each word's begin).
+
+    Texts are taken in blocks, so that only distinct words are kept in full.
+    """
+    hashes, rows, names, sizes, grams = [], [], [], [], []
+    known = np.zeros(0, U)
+    at = 0
+    while at < len(texts):
+        n, size = at, 0
+        while n < len(texts) and (n == at or size + len(texts[n]) <= CHUNK_CHARS):
+            size += len(texts[n])
+            n += 1
+        chars, first, end, row = spell(texts[at:n])
+        h = run_hashes(chars.astype(U), first, end)
+        hashes.append(h)
+        rows.append(row + at)
+        at = n
+        new, example = np.unique(h, return_index=True)
+        fresh = ~np.isin(new, known)
+        new, example = new[fresh], example[fresh]
+        known = np.union1d(known, new)
+        f, e = first[example], end[example]
+        parts, of = [word_ids(chars, f, e)], [np.arange(len(f))]
+        for k, ids in zip(GRAMS, gram_ids(chars), strict=True):
+            many = np.maximum(e - f + 3 - k, 0)
+            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            parts.append(ids[np.repeat(f - 1, many) + nth])
+            of.append(np.repeat(np.arange(len(f)), many))
+        order = np.argsort(np.concatenate(of), kind="stable")
+        grams.append(np.concatenate(parts)[order].astype(np.int32))
+        names.append(new)
+        sizes.append(np.bincount(np.concatenate(of), minlength=len(f)))
+    if not hashes:
+        z = np.zeros(0, np.int64)
+        return z, z, z, np.zeros(1, np.int64)
+    name, flat = np.concatenate(names), np.concatenate(grams)
+    ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+    order = np.argsort(name)
+    number = order[np.searchsorted(name[order], np.concatenate(hashes))] if len(name) else np.zeros(0, np.int64)
+    return number, np.concatenate(rows), flat, ends
+
+
 def train(texts: list[str], labels: list[int]) -> Model:
     """Minibatch gradient descent over (text, label) with a falling rate; without two different labels a model of the bias alone."""
     rng = np.random.default_rng(SEED)
@@ -117,22 +160,9 @@ def train(texts: list[str], labels: list[int]) -> Model:
         b[1] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return Model(emb * 0, w, b)
     b[1] = np.log(y.mean() / (1 - y.mean()))
-    chars, first, end, row = spell(texts)
-    if not len(first):
+    words_flat, row, flat, ends = _vocabulary(texts)
+    if not len(words_flat):
         return Model(emb * 0, w, b)
-    # The buckets of each distinct word, as one flat array.
-    _, example, words_flat = np.unique(run_hashes(chars.astype(U), first, end), return_index=True, return_inverse=True)
-    f, e = first[example], end[example]
-    parts, of = [word_ids(chars, f, e)], [np.arange(len(f))]
-    for n, ids in zip(GRAMS, gram_ids(chars), strict=True):
-        many = np.maximum(e - f + 3 - n, 0)
-        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        parts.append(ids[np.repeat(f - 1, many) + nth])
-        of.append(np.repeat(np.arange(len(f)), many))
-    order = np.argsort(np.concatenate(of), kind="stable")
-    flat = np.concatenate(parts)[order]
-    ends = np.searchsorted(np.concatenate(of)[order], np.arange(len(f) + 1))
-    del chars, parts, of, order
     lo, hi, of_doc = passages(np.searchsorted(row, np.arange(len(texts) + 1)))
     kept, start = np.unique(of_doc, return_index=True)
     y, start = y[kept], np.append(start, len(of_doc))
