@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from clauseflow.session import share_package
+
 #: Arrow batches towards Python end at this many bytes, so very long texts don't pile up in one batch.
 ARROW_BATCH_BYTES = 8 << 20
 
@@ -55,7 +57,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes where this Spark has the setting."""
+    """Bound Arrow batches by bytes, and let workers import this package."""
+    share_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
