@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .repeats import KNOWN, NULL_ID, SINGLE
+from .repeats import NULL_ID
 from .scratch import materialize, tune
 from .wordhash import LOWER, SPACED, U, mix, run_hashes, text_chunks, window_hashes, word_bounds, word_hashes, words
 
@@ -34,6 +34,12 @@ HEAVY = 1 << 16
 #: Largest size for which subsets are considered, and what a scanned list entry costs against an enumerated subset.
 MAX_LIGHT, SCAN_COST = 32, 2.0
 BUFFER = 1 << 20
+#: A link is proposed at first where one in this many prefix elements leads to the same centre.
+PROPOSE = 4
+#: Rounds of proposals, and the length from which a list is scanned in parts.
+TURNS, LONG = 2, 20_000
+#: Sets in a block of a list that others scan.
+BLOCK = 4096
 
 
 def least_overlap(s: int, t: int, percent: int = PERCENT) -> int:
@@ -81,12 +87,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _describe(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [s for block in shingle_sets(b.column(1), k) for s in block]
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n", "digest"])
+            digests = [_digest(s) for s in sets]
+            halves = [int.from_bytes(x[:8], "little", signed=True) for x in digests]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n", "d", "digest"])
 
     return run
 
@@ -132,22 +143,19 @@ def subset_keys(own: np.ndarray, light: int, percent: int = PERCENT) -> list[int
 
 
 def _index(k: int, percent: int, light: int, heavy: np.ndarray, rank: np.ndarray):
+    """List entries of every text's set: key to shuffle by, list, set (first half of its digest), size, and whether the
+    list is a frequent shingle's. Entries of such lists are spread over keys of their own."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = np.asarray(b.column(0))
-            at = 0
-            for block in shingle_sets(b.column(1), k):
-                own = ids[at : at + len(block)]
-                at += len(block)
-                # Of equal sets in this block, the smallest doc_id speaks for all.
-                seen: set[bytes] = set()
-                keys, docs, sizes = [], [], []
-                for i in np.argsort(own, kind="stable"):
-                    s = block[i]
+            for block in shingle_sets(b.column(0), k):
+                seen: set[int] = set()  # equal sets in this block speak once
+                keys, names, sizes = [], [], []
+                for s in block:
                     n = len(s)
-                    if not n or (raw := s.tobytes()) in seen:
+                    if not n or (name := int.from_bytes(_digest(s)[:8], "little", signed=True)) in seen:
                         continue
-                    seen.add(raw)
+                    seen.add(name)
                     parts = []
                     if n <= light:
                         parts.append(np.array(subset_keys(s, light, percent), U))
@@ -158,50 +166,85 @@ def _index(k: int, percent: int, light: int, heavy: np.ndarray, rank: np.ndarray
                         parts.append(rare[:p])
                         if len(rare) < p:
                             parts.append(s[often][np.argsort(rank[where[often]], kind="stable")][: p - len(rare)])
-                    for x in parts:
-                        keys.append(x)
-                        docs.append(np.full(len(x), own[i]))
-                        sizes.append(np.full(len(x), n))
+                    own = np.concatenate(parts)
+                    keys.append(own)
+                    names.append(np.full(len(own), name))
+                    sizes.append(np.full(len(own), n))
                 if not keys:
                     continue
-                h, d, n_ = np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes)
-                # Frequent shingles have long lists for certain; their rows go wherever there is room.
+                h, d, n_ = np.concatenate(keys), np.concatenate(names), np.concatenate(sizes)
                 where = np.minimum(np.searchsorted(heavy, h), max(len(heavy) - 1, 0))
                 often = heavy[where] == h if len(heavy) else np.zeros(len(h), bool)
-                key = np.where(often, mix(h + d.astype(U) * U(0x9E3779B97F4A7C15)), h)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array(d), pa.array(n_), pa.array(np.where(often, KNOWN, SINGLE).astype(np.int32))], names=["k", "h", "doc_id", "n", "kind"]
-                )
+                key = np.where(often, mix(h + d.view(U) * U(0x9E3779B97F4A7C15)), h)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array(d), pa.array(n_), pa.array(often)], names=["k", "h", "d", "n", "often"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by k those whose k stands in two rows, and those of known lists."""
+    """Of rows sorted by k and d, each (list, set) once: those of lists with two sets, and those of frequent shingles."""
     held: pa.RecordBatch | None = None
-    before = None  # k of the last group, once it has two rows
+    before: int | None = None  # k of the last group, once it has two sets
+    last: tuple[int, int] | None = None
     for b in batches:
+        k, d = np.asarray(b.column(0)), np.asarray(b.column(2))
+        if not len(k):
+            continue
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+        new[0] = last != (int(k[0]), int(d[0]))
+        last = (int(k[-1]), int(d[-1]))
+        b = b.filter(pa.array(new))
         if held is not None:
             b = pa.concat_batches([held, b])
-        k, kind = np.asarray(b.column(0)), np.asarray(b.column(4))
-        if not len(k):
+        if not b.num_rows:
             continue
-        keep = kind == KNOWN
+        k, keep = np.asarray(b.column(0)), np.array(b.column(4))
         same = k[1:] == k[:-1]
         keep[1:] |= same
         keep[:-1] |= same
         if before is not None:
             keep |= k == before
-        # The last row waits for the next one, if it is alone so far.
-        wait = not keep[-1]
-        if not wait:
-            before = k[-1]
-        held = b.slice(len(k) - 1) if wait else None
-        yield b.slice(0, len(k) - wait).filter(pa.array(keep[: len(k) - wait])).select(["h", "doc_id", "n"])
+        if keep[-1]:
+            before, held = int(k[-1]), None
+        else:  # alone so far: the next batch may bring it company
+            held, b, keep = b.slice(b.num_rows - 1), b.slice(0, b.num_rows - 1), keep[:-1]
+        yield b.filter(pa.array(keep)).select(["h", "d", "n", "often"])
+
 
+def _propose(percent: int):
+    """Of rows sorted by list and order, (b, n, a, v): a set, its size, the centre it meets and how often.
+
+    In each list the first set of each band of sizes is a centre; sets look at the centre of their own band and of the
+    band below, if it is of another component and near enough in size.
+    """
+    base = float(np.log(100 / percent))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        centres: dict[int, tuple[int, int, int]] = {}
+        for batch in batches:
+            votes: dict[tuple[int, int, int], int] = {}
+            g, h, rep, n, comp = (np.asarray(batch.column(i)).tolist() for i in range(5))
+            band = np.floor(np.log(np.maximum(np.asarray(batch.column(3)), 1)) / base).astype(int).tolist()
+            for i in range(len(h)):
+                if at != (h[i], g[i]):
+                    at, centres = (h[i], g[i]), {}
+                centres.setdefault(band[i], (rep[i], n[i], comp[i]))
+                for x in (band[i], band[i] - 1):
+                    c = centres.get(x)
+                    if c and c[2] != comp[i] and 100 * min(c[1], n[i]) >= percent * max(c[1], n[i]):
+                        key = (rep[i], n[i], c[0])
+                        votes[key] = votes.get(key, 0) + 1
+            if votes:
+                b, n_, a = zip(*votes)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(n_, pa.int64()), pa.array(a, pa.int64()), pa.array(list(votes.values()), pa.int64())], names=["b", "n", "a", "v"])
+
+    return run
 
-def similar_size(n: Column, m: Column, percent: int) -> Column:
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+def _prefix_size(n: Column, percent: int) -> Column:
+    return n - F.ceil(percent * n / F.lit(100)) + 1
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -235,10 +278,21 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     """
     tune(docs.sparkSession)
     keyed = _keyed(docs)
-    base = materialize(keyed.mapInArrow(_describe(k), "doc_id long, n long, digest binary"), "sets")
-    firsts = materialize(base.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "set-firsts")
-    base = materialize(base.join(firsts, "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "set-reps")
+    base = materialize(keyed.mapInArrow(_describe(k), "doc_id long, n long, d long, digest binary"), "sets")
+    firsts = materialize(base.where("n > 0").groupBy("digest", "d").agg(F.min("doc_id").alias("rep")), "set-firsts")
+    base = materialize(base.join(firsts.drop("d"), "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "set-reps")
+    lists = _lists(keyed, base, firsts, k, percent)
+    members = lists.select("rep").distinct()
+    texts = keyed.join(members, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("th")).agg(F.min("text").alias("text"))
+    texts = materialize(texts, "set-texts")
+    labels = _link(lists, texts, k, percent)
+    component = F.coalesce("comp", base["rep"])
+    out = base.join(labels, base["rep"] == labels["rep"], "left")
+    return out.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != NULL_ID, component).alias("component_id"))
+
 
+def _lists(keyed: DataFrame, base: DataFrame, firsts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Lists with several sets: h, rep, n, and the number of parts that the list is scanned in."""
     histogram = {r["n"]: r["count"] for r in base.where(F.col("n").between(1, 2 * MAX_LIGHT)).groupBy("n").count().collect()}
     light = boundary(histogram, percent)
     counted = keyed.select("text").mapInArrow(_count(k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -246,42 +300,97 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     heavy, rank = np.array([r["h"] for r in top], np.int64).view(U), np.array([r["n"] for r in top], np.int64)
     order = np.argsort(heavy)
     heavy, rank = heavy[order], rank[order]
+    entries = keyed.select("text").mapInArrow(_index(k, percent, light, heavy, rank), "k long, h long, d long, n long, often boolean")
+    shared = entries.repartition("k").sortWithinPartitions("k", "d").mapInArrow(_shared, "h long, d long, n long, often boolean")
+    shared = materialize(shared, "set-shared")
+    # Should two sets share half a digest, both stand in all of its lists: checks on texts decide anyway.
+    lists = materialize(shared.join(firsts.select("d", "rep"), "d").select("h", "rep", "n", "often"), "set-lists")
+    # Very long lists are scanned in parts. Only frequent shingles have such; there are at most HEAVY of them.
+    long = lists.where("often").groupBy("h").agg(F.ceil(F.count(F.lit(1)) / F.lit(LONG)).alias("parts")).where("parts > 1")
+    return lists.join(F.broadcast(long), "h", "left").select("h", "rep", "n", F.coalesce("parts", F.lit(1)).alias("parts"))
+
+
+def _link(lists: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(rep, comp) for all sets of the lists."""
+    labels = materialize(lists.select("rep").distinct().withColumn("comp", F.col("rep")), "set-labels")
+    tried = None
+    for turn in range(TURNS):
+        # Centres are the smallest numbers first, as copies follow their originals, then others each time, by a hash. Parts
+        # of long lists are mixed anew each time.
+        now = lists.join(labels, "rep").withColumn("g", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("parts")))
+        rows = now.select("g", "h", "rep", "n", "comp", (F.xxhash64(F.lit(turn), "rep") if turn else F.col("rep")).alias("o")).repartition("h", "g").sortWithinPartitions("h", "g", "o")
+        votes = rows.drop("o").mapInArrow(_propose(percent), "b long, n long, a long, v long").groupBy("b", "n", "a").agg(F.sum("v").alias("v"))
+        # Few common lists promise little; what such a pair has in common is left to the pairs below.
+        votes = votes.where((F.col("n") <= MAX_LIGHT) | (PROPOSE * F.col("v") >= _prefix_size(F.col("n"), percent)))
+        if tried is not None:
+            votes = votes.join(tried, ["a", "b"], "left_anti")
+        proposals = materialize(votes.groupBy("b").agg(F.max_by("a", F.struct("v", (-F.col("a")).alias("x"))).alias("a")).select("a", "b"), "set-proposals")
+        if proposals.isEmpty():
+            break
+        tried = proposals if tried is None else materialize(tried.unionByName(proposals), "set-tried")
+        edges = materialize(_verify(proposals, texts, k, percent), "set-edges")
+        labels = _relabel(labels, edges)
+    return _relabel(labels, materialize(_verify(_across(lists, labels, percent), texts, k, percent), "set-edges"))
+
+
+def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of sets in different components that may be similar, from lists that still hold several.
+
+    Components have an order, by size. In each list, sets outside its first component scan the whole list, which comes in
+    blocks of bounded length; a set adds up what it has met in all of its lists and keeps what can reach the overlap
+    needed. Of two sets the one of the lesser component scans, in every list that both are in, so its counts are complete.
+    """
+    sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    order = materialize(labels.join(sizes, "comp").select("rep", F.struct("size", "comp").alias("place")), "set-places")
+    rows = materialize(lists.select("h", "rep", "n").join(order, "rep"), "set-labelled")
+    leads = rows.groupBy("h").agg(F.max("place").alias("lead"), F.min("place").alias("low"), F.count(F.lit(1)).alias("c"))
+    leads = materialize(leads.where("lead != low").select("h", "lead", F.ceil(F.col("c") / F.lit(BLOCK)).alias("blocks")), "set-open")
+    rows = materialize(rows.join(leads, "h").select("h", "rep", "n", (F.col("place") != F.col("lead")).alias("scans"), F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")), "set-left")
+    blocks = rows.groupBy("h", "block").agg(F.collect_list(F.struct("rep", "n")).alias("x"))
+    blocks = blocks.select("h", F.transform("x", lambda x: x["rep"]).alias("reps"), F.transform("x", lambda x: x["n"].cast("int")).alias("ns"))
+    scans = rows.where("scans").select("h", F.col("rep").alias("a"), F.col("n").alias("m")).join(blocks, "h").select("a", "m", "reps", "ns")
+    met = scans.repartition("a").sortWithinPartitions("a").mapInArrow(_scan(percent), "a long, b long")
+    of = lambda side: order.select(F.col("rep").alias(side), F.col("place").alias(f"p{side}"))
+    return materialize(met.join(of("a"), "a").join(of("b"), "b").where("pa < pb AND pa.comp != pb.comp").select("a", "b"), "set-across")
+
+
+def _scan(percent: int):
+    """Of rows sorted by a, with blocks of its lists: the sets that a may be similar to.
+
+    Up to the lesser of two prefixes' last elements all common elements are counted; beyond it that set has only what its
+    prefix left out. Light sets may have met through subsets, which count otherwise: they always may.
+    """
 
-    entries = keyed.mapInArrow(_index(k, percent, light, heavy, rank), "k long, h long, doc_id long, n long, kind int")
-    shared = entries.repartition("k").sortWithinPartitions("k").mapInArrow(_shared, "h long, doc_id long, n long")
-    shared = materialize(shared, "set-lists")
-    # Lists of distinct sets; a list of one set (copies of one text) is none.
-    reps = base.select("doc_id", F.col("rep"), F.col("n").alias("m")).distinct()
-    lists = shared.join(reps, (shared["doc_id"] == reps["doc_id"]) & (shared["n"] == reps["m"])).select("h", "rep", "n").distinct()
-    lists = materialize(lists, "set-lists-distinct")
-    alive = materialize(lists.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("h"), "set-lists-alive")
-    lists = materialize(lists.join(alive, "h"), "set-lists-several")
-    members = lists.select("rep").distinct()
-    texts = keyed.join(members, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("th")).agg(F.min("text").alias("text"))
-    texts = materialize(texts, "set-texts")
+    def flush(a: int, m: int, reps: list[np.ndarray], ns: list[np.ndarray]) -> pa.RecordBatch:
+        rep, at, common = np.unique(np.concatenate(reps), return_index=True, return_counts=True)
+        n = np.concatenate(ns).astype(np.int64)[at]
+        near = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        rest = np.maximum(-(-percent * n // 100), -(-percent * m // 100)) - 1
+        need = -(-percent * (n + m) // (100 + percent))
+        b = rep[near & (rep != a) & ((np.minimum(n, m) <= MAX_LIGHT) | (common + rest >= need))]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a)), pa.array(b)], names=["a", "b"])
 
-    # A centre for each list and band of sizes; sets look into their own band and the one below.
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
-    banded = lists.withColumn("band", band)
-    centres = materialize(banded.groupBy("h", "band").agg(F.min(F.struct("rep", "n")).alias("c")), "set-centres")
-    looks = banded.select("h", "rep", "n", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
-    votes = looks.join(centres, ["h", "band"]).where((F.col("c.rep") != F.col("rep")) & similar_size(F.col("n"), F.col("c.n"), percent))
-    votes = votes.groupBy("rep", F.col("c.rep").alias("a")).agg(F.count(F.lit(1)).alias("v"))
-    proposals = votes.groupBy(F.col("rep").alias("b")).agg(F.max_by("a", F.struct("v", (-F.col("a")).alias("x"))).alias("a")).select("a", "b")
-    edges = materialize(_verify(materialize(proposals, "set-proposals"), texts, k, percent), "set-edges")
-    found = components(edges)
-
-    # Lists that still hold several components: all pairs across them.
-    labelled = lists.join(found, lists["rep"] == found["node"], "left").select("h", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    labelled = materialize(labelled, "set-labelled")
-    several = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("h")
-    left = materialize(labelled.join(materialize(several, "set-open"), "h"), "set-left")
-    x, y = left.alias("x"), left.alias("y")
-    across = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.rep") < F.col("y.rep")) & similar_size(F.col("x.n"), F.col("y.n"), percent))
-    across = materialize(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "set-across")
-    more = materialize(_verify(across, texts, k, percent), "set-more-edges")
-    if not more.isEmpty():
-        found = components(edges.unionByName(more))
-    component = F.coalesce("comp", "rep")
-    out = base.join(found, base["rep"] == found["node"], "left")
-    return out.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != NULL_ID, component).alias("component_id"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple[int, int] | None = None
+        reps: list[np.ndarray] = []
+        ns: list[np.ndarray] = []
+        for batch in batches:
+            for a, m, r, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if at is not None and at != (a, m):
+                    yield flush(*at, reps, ns)
+                    reps, ns = [], []
+                at = (a, m)
+                reps.append(np.asarray(r.values))
+                ns.append(np.asarray(n.values))
+        if at is not None:
+            yield flush(*at, reps, ns)
+
+    return run
+
+
+def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels after joining the components that edges connect."""
+    of = lambda side: labels.select(F.col("rep").alias(side), F.col("comp").alias(f"c{side}"))
+    between = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    found = components(between).select("node", F.col("comp").alias("joined"))
+    return materialize(labels.join(found, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("joined", "comp").alias("comp")), "set-labels")
