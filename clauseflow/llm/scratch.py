@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -53,9 +54,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more; else they stay until the driver's heap fills up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tune(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes, and let workers import this package."""
     share_package(spark)
