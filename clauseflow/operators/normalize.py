@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from clauseflow import constants as K
 from clauseflow.functions import text as X
@@ -52,6 +53,6 @@ def fingerprint(s: str | None) -> str:
     return out.lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fingerprint_udf(column: pd.Series) -> pd.Series:
     return column.map(fingerprint)

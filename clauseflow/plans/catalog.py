@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseflow.functions import text as X
-from clauseflow.operators import normalize, report, scan, segment
+from clauseflow.operators import history, normalize, report, retrieve, scan, segment, verify
 from clauseflow.plans.seeded import agreements
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def clauses_of(spark: SparkSession, sf_dir: str, step: int = 5) -> DataFrame:
-    """Normalised and segmented agreements."""
-    return segment.clauses(normalize.normalize_documents(agreements(spark, sf_dir, step)).select("doc_id", "text"))
+def clauses_of(spark: SparkSession, sf_dir: str, step: int = 5, own: bool = True) -> DataFrame:
+    """Normalised and segmented agreements, with or without the documents' own text behind them."""
+    return segment.clauses(normalize.normalize_documents(agreements(spark, sf_dir, step, own)).select("doc_id", "text"))
 
 
 def findings_of(spark: SparkSession, sf_dir: str, step: int = 5) -> DataFrame:
@@ -195,3 +195,226 @@ def highlight_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = normalize.normalize_documents(agreements(spark, sf_dir)).select("doc_id", "text")
     spans = scan.merge_spans(scan.findings(segment.clauses(docs)), docs.select("doc_id", F.length("text").alias("length")))
     return report.highlighted(docs, spans).select("doc_id", F.md5("html").alias("html_md5"))
+
+QUESTIONS = [(1, "付了钱能退吗？"), (2, "账号被封了会怎样？"), (3, "我的数据会被共享给谁？"), (4, "发生争议要去哪里解决？"), (5, "trial renewal non-refundable fees"), (6, "公司年会在哪办")]
+
+
+def _questions(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(QUESTIONS, "question_id long, question string")
+
+
+@query
+def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.question_terms(_questions(spark)).select("question_id", "term", F.col("n_terms").cast("long").alias("n_terms"))
+
+
+@query
+def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.build_index(clauses_of(spark, sf_dir)).idf.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = retrieve.build_index(clauses_of(spark, sf_dir))
+    return index.totals.crossJoin(retrieve.upper_median_idf(index.idf)).select("total", F.round("avg_len", 6).alias("avg_len"), F.round("median_idf", 6).alias("median_idf"))
+
+
+@query
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = retrieve.ranked(retrieve.build_index(clauses_of(spark, sf_dir, own=False)), _questions(spark))
+    return r.where("rank <= 20").select("question_id", F.col("rank").cast("long").alias("rank"), F.round("score", 3).alias("score"), "matched")
+
+
+@query
+def bm25_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = retrieve.scored(retrieve.build_index(clauses_of(spark, sf_dir, own=False)), _questions(spark), strict=False)
+    return s.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 3).alias("best"), F.max("matched").alias("most"))
+
+
+@query
+def search_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.search(retrieve.build_index(clauses_of(spark, sf_dir, own=False)), _questions(spark)).select("question_id", "pos", "doc_id", "clause_id", "score")
+
+
+@query
+def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every first clause."""
+    c = clauses_of(spark, sf_dir)
+    return retrieve.neighbours(c.select("doc_id", "clause_id", "idx"), c.where("idx = 0").select("doc_id", "clause_id"), 2)
+
+
+@query
+def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.budget_prefix(clauses_of(spark, sf_dir), 300).select("doc_id", "clause_id", F.length("text").cast("long").alias("chars"), "truncated")
+
+
+@query
+def rehydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses cut out of texts that have lost their second half."""
+    docs = normalize.normalize_documents(agreements(spark, sf_dir)).select("doc_id", "text")
+    half = docs.select("doc_id", F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int")).alias("text"))
+    r = retrieve.rehydrate(half, segment.clauses(docs).drop("text"))
+    return r.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("lost").alias("lost"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def batch_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.batches(clauses_of(spark, sf_dir), 120).select("doc_id", "clause_id", F.col("batch").cast("long").alias("batch"))
+
+
+@query
+def kadane_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best run of line items by quantity around 25, per order."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_quantity").cast("double") - 25).alias("v")))).alias("x"))
+    run = retrieve.best_run(F.transform("x", lambda x: x["v"]))
+    return items.select("l_orderkey", run.alias("r")).select("l_orderkey", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("stop"), F.round("r.sum", 6).alias("total"))
+
+
+def _raw_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Findings as a model would send them: as they are, with other marks, under a wrong clause, made up, empty, repeated."""
+    docs = normalize.normalize_documents(agreements(spark, sf_dir)).select("doc_id", "text")
+    c = segment.clauses(docs)
+    f = scan.findings(c).select("doc_id", "rank", "clause_id", "category", "severity", "quote", "title", "explanation", "impact", "advice", "hidden", "wording")
+    def form(n: int, q: Column, c: Column) -> Column:
+        return F.struct(F.lit(n).alias("form"), q.alias("q"), c.alias("c"))
+
+    q, own = F.col("quote"), F.col("clause_id")
+    forms = F.array(form(0, q, own), form(1, F.translate(q, "，。；", ",.;"), own), form(2, q, F.lit("c999")), form(3, F.concat(F.lit("编造的引文内容"), q), own), form(4, F.lit(" "), own))
+    raw = f.select("*", F.explode(forms).alias("x")).withColumn("ord", F.col("rank") * 10 + F.col("x.form"))
+    return raw.select("doc_id", "ord", F.col("x.c").alias("clause_id"), F.upper("severity").alias("severity"), "category", F.col("x.q").alias("quote"), "title", "explanation", "impact", "advice", "hidden", "wording"), c, docs
+
+
+@query
+def quote_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = verify.verify_findings(*_raw_findings(spark, sf_dir))
+    return v.select("doc_id", "ord", "finding_id", "clause_id", "category", "severity", "quote", "start", "end", "match_type", "status")
+
+
+@query
+def quote_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.verification_counts(verify.verify_findings(*_raw_findings(spark, sf_dir)))
+
+
+@query
+def quote_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where benchmark passages stand in documents."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(F.length("text") > 0).select("item_id", F.col("text").alias("q"))
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    # A document that holds a passage has its longest inner word; only such pairs are looked at.
+    inner = F.filter(F.split("q", r"[ \n]"), lambda w, i: (i > 0) & (i < F.size(F.split("q", r"[ \n]")) - 1))
+    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    words = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("k"))
+    pairs = words.join(b.select("item_id", key.alias("k")), "k").select("doc_id", "item_id")
+    found = pairs.join(d, "doc_id").join(b, "item_id").withColumn("at", F.instr("text", F.col("q"))).where("at > 0")
+    return found.select("doc_id", "item_id", (F.col("at") - 1).cast("long").alias("start"))
+
+
+@query
+def quote_owner_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clause that holds each finding's start, found by range."""
+    c = clauses_of(spark, sf_dir)
+    spans = scan.findings(c).select("doc_id", "finding_id", F.col("start").alias("pos"))
+    return verify.owners(spans, c).select("doc_id", "finding_id", F.col("owner").alias("clause_id"))
+
+
+@query
+def fingerprint_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of headings."""
+    return clauses_of(spark, sf_dir).select("doc_id", "clause_id", normalize.fingerprint_udf(F.col("heading")).alias("fp"))
+
+
+@query
+def severity_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spellings of severities, categories and tones, by document number."""
+    k = F.pmod("doc_id", F.lit(8)).cast("int")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), k + 1)
+    sev, cat = pick("HIGH", "严重", "moderate", "min", "致命", "informational", "?", " low "), pick("arbitration", "Data Sharing", "自动续费 / 扣费", "data-sharing", "x", "", "Refund", "退款与费用规则")
+    tone = pick("有利", "Neutral", "不利", "mixed", "?", "", "对用户不利", "UNFAVORABLE")
+    return documents(spark, sf_dir).select("doc_id", X.normalize_severity(sev).alias("severity"), X.normalize_category(cat).alias("category"), X.normalize_tone(tone).alias("tone"))
+
+
+@query
+def history_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every agreement against a later version of it."""
+    c = history.compare(findings_of(spark, sf_dir), findings_of(spark, sf_dir, 7))
+    return c.select("doc_id", F.col("pos").cast("long").alias("pos"), "category", "before", "after", "delta")
+
+
+@query
+def history_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("id"), F.col("ts").alias("saved_at"))
+    return history.retain(e.groupBy("id", "saved_at").count().drop("count")).select("id", F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss").alias("saved_at"))
+
+
+@query
+def corpus_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.lit("conversation").alias("kind")).distinct()
+    merged = history.merge_corpus(c, documents(spark, sf_dir).select("doc_id", F.lit("document").alias("kind")))
+    return merged.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+@query
+def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", F.md5(X.html_strip(F.coalesce("html", F.lit("")))).alias("text_md5"))
+
+
+@query
+def js_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, and pages emptied to a mount point, by the signs of a shell."""
+    h = pages(spark, sf_dir).select("page_id", F.explode(F.array(F.coalesce("html", F.lit("")), F.concat(F.lit("<html><body><div id='app'></div><script>window.__NUXT__={}</script>"), F.repeat(F.lit("<i></i>"), 150), F.lit("</body></html>")))).alias("html"))
+    return h.select("page_id", F.array_join(X.shell_signals(F.col("html")), ",").alias("signals"), F.length(X.visible_text(F.col("html"))).cast("long").alias("visible"), X.is_js_shell(F.col("html"), F.lit("")).alias("shell"))
+
+
+@query
+def html_tail_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of stripped pages without repeats in the tail: the last quarter, five lines at least; lines under six characters stay."""
+    from pyspark.sql import Window
+
+    lines = pages(spark, sf_dir).select("page_id", F.posexplode(F.split(X.html_strip(F.coalesce("html", F.lit(""))), "\n")).alias("pos", "line"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("page_id"))
+    before = F.row_number().over(Window.partitionBy("page_id", "line").orderBy("pos"))
+    marked = lines.select("page_id", (F.col("pos") >= n - F.greatest(F.lit(5), F.ceil(n * F.lit(0.25)))).alias("tail"), before.alias("nth"), F.length("line").alias("chars"))
+    drop = F.col("tail") & (F.col("nth") > 1) & (F.col("chars") >= 6)
+    return marked.groupBy("page_id").agg(F.count_if(~drop).alias("kept"), F.count_if(drop).alias("dropped"))
+
+
+@query
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit(" "), F.regexp_replace(F.coalesce("url", F.lit("")), "^https?://", ""), F.lit("　"))
+    return pages(spark, sf_dir).select("page_id", X.repair_url(raw).alias("url"))
+
+
+@query
+def url_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.element_at(F.array(*map(F.lit, ("127.0.0.1", "10.1.2.3", "172.20.0.9", "172.32.0.9", "localhost", "printer.local", "example.com", "192.168.1.1"))), F.pmod("page_id", F.lit(8)).cast("int") + 1)
+    u = F.concat(F.when(F.col("page_id") % 3 == 0, F.lit("ftp://")).otherwise(F.lit("http://")), host, F.lit("/x"))
+    return pages(spark, sf_dir).select("page_id", X.is_private_url(u).alias("private"), X.is_fetchable(u).alias("fetchable"))
+
+
+@query
+def url_canonical_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of each canonical URL."""
+    keyed = pages(spark, sf_dir).where(F.col("url").isNotNull()).select("page_id", X.url_key(F.col("url")).alias("key"))
+    return keyed.groupBy("key").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def safe_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).select("page_id", X.safe_filename(F.col("url")).alias("name"))
+
+
+@query
+def ingest_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest item after sequence number 10, as a cursor read sees it."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.where("event_id > 10").agg(F.max_by(F.struct("event_id", "event_type", "user_id"), "event_id").alias("x")).select("x.*")
+
+
+@query
+def daily_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.groupBy(F.date_format(F.window("ts", "1 day")["start"], "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -38,7 +38,7 @@ CLAUSES = [
 NUMBERS = "一二三四五六七八"
 
 
-def agreements(spark: SparkSession, sf_dir: str, step: int = 5) -> DataFrame:
+def agreements(spark: SparkSession, sf_dir: str, step: int = 5, own: bool = True) -> DataFrame:
     """doc_id, title, text: eight clauses per document and its own text behind them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("own"))
     heads, bodies = F.array(*(F.lit(h) for h, _ in CLAUSES)), F.array(*(F.lit(b) for _, b in CLAUSES))
@@ -49,12 +49,12 @@ def agreements(spark: SparkSession, sf_dir: str, step: int = 5) -> DataFrame:
 
     text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), clause), "\n\n")
     title = F.concat(F.lit("用户服务协议 "), F.col("doc_id").cast("string"))
-    return docs.select("doc_id", title.alias("title"), F.concat(title, F.lit("\n\n"), text, F.lit("\n\n第九条 附则\n"), F.col("own")).alias("text"))
+    return docs.select("doc_id", title.alias("title"), F.concat(title if own else F.lit("用户服务协议"), F.lit("\n\n"), text, F.lit("\n\n第九条 附则\n"), F.col("own") if own else F.lit("完")).alias("text"))
 
 
-def agreements_sql(step: int = 5) -> str:
+def agreements_sql(step: int = 5, own: bool = True) -> str:
     """The same as a DuckDB query."""
     heads, bodies = (", ".join(f"'{x}'" for x in xs) for xs in zip(*CLAUSES, strict=True))
-    return f"""SELECT doc_id, '用户服务协议 ' || doc_id AS title, '用户服务协议 ' || doc_id || chr(10) || chr(10) || array_to_string(list_transform(range(0, 8), lambda j:
+    return f"""SELECT doc_id, '用户服务协议 ' || doc_id AS title, '用户服务协议' || {"' ' || doc_id" if own else "''"} || chr(10) || chr(10) || array_to_string(list_transform(range(0, 8), lambda j:
       '第' || substr('{NUMBERS}', j + 1, 1) || '条 ' || (list_value({heads}))[(doc_id * 7 + j * {step}) % {len(CLAUSES)} + 1] || chr(10) || (list_value({bodies}))[(doc_id * 7 + j * {step}) % {len(CLAUSES)} + 1]), chr(10) || chr(10))
-      || chr(10) || chr(10) || '第九条 附则' || chr(10) || coalesce(text, '') AS text FROM documents"""
+      || chr(10) || chr(10) || '第九条 附则' || chr(10) || {"coalesce(text, '')" if own else "'完'"} AS text FROM documents"""

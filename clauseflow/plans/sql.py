@@ -99,6 +99,7 @@ clauses AS (SELECT doc_id, 'c' || (idx + 1) AS clause_id, idx, CASE WHEN h = ''
 
 
 CLAUSES = f"WITH {NORM}, {clause_ctes()}"
+SHORT = f"WITH {normalized(agreements_sql(own=False))}, {clause_ctes()}"
 
 _SEV = "CASE severity " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(T.SEVERITIES)) + " END"
 _WEIGHT = "CASE severity " + " ".join(f"WHEN '{s}' THEN {w}" for s, w in T.SEVERITY_WEIGHTS.items()) + " END"
@@ -190,3 +191,102 @@ SELECT doc_id, score AS risk_score, {verdict('score')} AS verdict, CASE WHEN nf
 SQL["highlight_spans"] = f"""{FOUND}, m0 AS (SELECT *, max(fe) OVER (PARTITION BY doc_id ORDER BY fs, fe, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM found WHERE fe > fs),
 m1 AS (SELECT *, sum(CASE WHEN reach IS NULL OR fs >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY fs, fe, rank) AS island FROM m0)
 SELECT doc_id, min(fs) AS start, max(fe) AS stop, string_agg('f' || rank, ',' ORDER BY fs, fe, rank) AS ids, arg_min(severity, {_SEV}) AS severity FROM m1 GROUP BY doc_id, island"""
+
+
+def tokens(c: str) -> str:
+    words = f"list_transform(regexp_extract_all({c}, '[a-zA-Z][a-zA-Z0-9''-]*|[0-9]+'), lambda x: lower(x))"
+    runs = f"regexp_extract_all({c}, {rx(f'[{CJK}]+')})"
+    return f"list_concat({words}, flatten(list_transform({runs}, lambda r: CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END)))"
+
+
+_QUESTIONS = [(1, "付了钱能退吗？"), (2, "账号被封了会怎样？"), (3, "我的数据会被共享给谁？"), (4, "发生争议要去哪里解决？"), (5, "trial renewal non-refundable fees"), (6, "公司年会在哪办")]
+_Q = "q(question_id, question) AS (VALUES " + ", ".join(f"({i}, {lit(t)})" for i, t in _QUESTIONS) + ")"
+_SYN = " UNION ALL ".join(f"SELECT question_id, unnest(flatten([{', '.join(tokens(lit(w)) for w in add)}])) AS term FROM q WHERE regexp_matches(question, {rx(p)})" for p, add in T.SYNONYMS)
+_TERMS = f"{_Q}, qt0 AS (SELECT question_id, unnest({tokens('question')}) AS term FROM q UNION ALL {_SYN}), qt AS (SELECT question_id, term, count(*) OVER (PARTITION BY question_id) AS n_terms FROM (SELECT DISTINCT question_id, term FROM qt0))"
+_INDEX = f"""tok AS (SELECT doc_id, clause_id, idx, {tokens('text')} AS body, {tokens("coalesce(heading, '')")} AS head FROM clauses),
+ent AS (SELECT doc_id, clause_id, idx, (len(body) + 3 * len(head))::DOUBLE AS len FROM tok WHERE len(body) + len(head) > 0),
+post AS (SELECT doc_id, clause_id, term, sum(w) AS tf FROM (SELECT doc_id, clause_id, unnest(body) AS term, 1 AS w FROM tok UNION ALL SELECT doc_id, clause_id, unnest(head), 3 FROM tok) GROUP BY ALL),
+tot AS (SELECT count(*) AS total, avg(len) AS avg_len FROM ent),
+idf AS (SELECT term, count(*) AS df, ln(1 + (any_value(total) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post, tot GROUP BY term),
+med AS (SELECT idf AS median_idf FROM (SELECT idf, row_number() OVER (ORDER BY idf) - 1 AS n, count(*) OVER () AS c FROM idf) WHERE n = c // 2)"""
+_SCORED = f"""sc AS (SELECT question_id, doc_id, clause_id, idx, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) * (1 + count(*) / any_value(n_terms)) AS score, count(*) AS matched, max(idf) AS top
+  FROM post JOIN qt USING (term) JOIN idf USING (term) JOIN ent USING (doc_id, clause_id), tot GROUP BY question_id, doc_id, clause_id, idx)"""
+SQL["question_terms"] = f"WITH {_TERMS} SELECT question_id::BIGINT AS question_id, term, n_terms FROM qt"
+SQL["idf"] = f"{CLAUSES}, {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf"
+SQL["index_totals"] = f"{CLAUSES}, {_INDEX} SELECT total, round(avg_len, 6) AS avg_len, round(median_idf, 6) AS median_idf FROM tot, med"
+SQL["bm25_topk"] = f"""{SHORT}, {_INDEX}, {_TERMS}, {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, idx) AS rank FROM sc, med WHERE top >= 0.5 * median_idf)
+SELECT question_id::BIGINT AS question_id, rank, round(score, 3) AS score, matched FROM r WHERE rank <= 20"""
+SQL["bm25_loose"] = f"{SHORT}, {_INDEX}, {_TERMS}, {_SCORED} SELECT question_id::BIGINT AS question_id, count(*) AS n, round(max(score), 3) AS best, max(matched) AS most FROM sc GROUP BY question_id"
+SQL["neighbors"] = f"{CLAUSES} SELECT b.doc_id, a.clause_id AS seed, b.clause_id FROM clauses a JOIN clauses b ON a.doc_id = b.doc_id AND b.idx BETWEEN 1 AND 2 WHERE a.idx = 0"
+SQL["budget_prefix"] = f"""{CLAUSES}, t AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY idx) AS total FROM clauses)
+SELECT doc_id, clause_id, least(length(text), 300)::BIGINT AS chars, idx = 0 AND total > 300 AS truncated FROM t WHERE total <= 300 OR idx = 0"""
+SQL["rehydrate"] = f"""{CLAUSES}, h AS (SELECT doc_id, substr(text, 1, length(text) // 2) AS half FROM norm), x AS (SELECT c.doc_id, substr(half, (c.start + 1)::BIGINT, (c.stop - c.start)::BIGINT) AS t, c.stop > length(half) AS lost FROM clauses c JOIN h USING (doc_id))
+SELECT doc_id, count(*) AS n, count(*) FILTER (lost) AS lost, sum(length(t))::BIGINT AS chars FROM x WHERE NOT ({blank('t')}) GROUP BY doc_id"""
+SQL["batch_pack"] = f"""WITH RECURSIVE {CLAUSES[5:]}, walk AS (
+  SELECT doc_id, clause_id, idx, 0 AS batch, length(text) AS total FROM clauses WHERE idx = 0
+  UNION ALL SELECT c.doc_id, c.clause_id, c.idx, CASE WHEN w.total + length(c.text) > 120 THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.total + length(c.text) > 120 THEN length(c.text) ELSE w.total + length(c.text) END
+  FROM walk w JOIN clauses c ON c.doc_id = w.doc_id AND c.idx = w.idx + 1)
+SELECT doc_id, clause_id, batch::BIGINT AS batch FROM walk"""
+SQL["kadane_run"] = """WITH v AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS i, l_quantity::DOUBLE - 25 AS x FROM lineitem),
+runs AS (SELECT a.l_orderkey, a.i AS s, b.i + 1 AS e, sum(m.x) AS total FROM v a JOIN v b ON b.l_orderkey = a.l_orderkey AND b.i >= a.i JOIN v m ON m.l_orderkey = a.l_orderkey AND m.i BETWEEN a.i AND b.i GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY total DESC, e, s DESC) AS n FROM runs)
+SELECT l_orderkey, s AS start, e AS stop, round(total, 6) AS total FROM best WHERE n = 1"""
+SQL["quote_exact"] = "SELECT doc_id, item_id, instr(d.text, b.text) - 1 AS start FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)"
+SQL["quote_owner_range"] = f"{FOUND} SELECT f.doc_id, 'f' || rank AS finding_id, c.clause_id FROM found f LEFT JOIN clauses c ON c.doc_id = f.doc_id AND f.fs >= c.start AND f.fs < c.stop"
+_SEVS = ["high", "critical", "medium", "low", "critical", "info", "medium", "low"]
+_CATS = ["arbitration", "data_sharing", "auto_renewal", "data_sharing", "other", "other", "refund", "refund"]
+_TONE8 = ["favorable", "neutral", "unfavorable", "mixed", "neutral", "neutral", "unfavorable", "unfavorable"]
+SQL["severity_alias"] = "SELECT doc_id, " + ", ".join(f"(list_value({', '.join(map(lit, v))}))[doc_id % 8 + 1] AS {n}" for n, v in (("severity", _SEVS), ("category", _CATS), ("tone", _TONE8))) + " FROM documents"
+
+
+def _count_by(step: int, name: str) -> str:
+    return f"{name} AS (WITH {normalized(agreements_sql(step))}, {clause_ctes()}, {hit_ctes()} SELECT doc_id, category, count(*) AS n FROM hits GROUP BY ALL)"
+
+
+SQL["history_compare"] = f"""WITH {_count_by(5, 'a')}, {_count_by(7, 'b')}, x AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.category, b.category) AS category, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after
+  FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.category = b.category)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY abs(after - before) DESC, category) AS pos, category, before, after, after - before AS delta FROM x WHERE after <> before"""
+SQL["history_retention"] = """SELECT id, strftime(saved_at, '%Y-%m-%d %H:%M:%S') AS saved_at FROM (SELECT user_id::VARCHAR AS id, max(ts) AS saved_at FROM events GROUP BY user_id) ORDER BY saved_at DESC, id LIMIT 12"""
+SQL["corpus_merge"] = """WITH c AS (SELECT DISTINCT conv_id AS doc_id FROM conversations), m AS (SELECT doc_id, 'conversation' AS kind FROM c UNION ALL SELECT doc_id, 'document' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c))
+SELECT kind, count(*) AS n, count(DISTINCT doc_id) AS ids FROM m GROUP BY kind"""
+
+
+def stripped(c: str) -> str:
+    out = c
+    for tag in ("script", "style", "head", "nav", "footer"):
+        out = rep(out, rf"(?is)<{tag}.*?</{tag}>", "' '")
+    out = rep(rep(rep(out, r"(?i)<(br|hr)\s*/?>", NL), r"(?i)</(p|div|li|tr|h[1-6]|section|article)>", NL), "<[^>]+>", "' '")
+    for name, raw in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;|&apos;", "''''"), ("&amp;", "'&'")):
+        out = rep(out, f"(?i){name}", raw)
+    line = trim(rep("l", "[ \\t]+", "' '"))
+    return f"list_filter(list_transform(string_split({out}, {NL}), lambda l: {line}), lambda l: l <> '')"
+
+
+def visible(c: str) -> str:
+    for tag in ("script", "style", "noscript"):
+        c = rep(c, rf"(?is)<{tag}.*?</{tag}>", "' '")
+    return trim(rep(rep(c, "<[^>]+>", "' '"), f"[{WS}]+", "' '"))
+
+
+SQL["html_strip"] = f"""SELECT page_id, md5(array_to_string({stripped("coalesce(html, '')")}, {NL})) AS text_md5 FROM pages"""
+_SHELL = "'<html><body><div id=''app''></div><script>window.__NUXT__={}</script>' || repeat('<i></i>', 150) || '</body></html>'"
+SQL["js_shell"] = f"""WITH h AS (SELECT page_id, unnest([coalesce(html, ''), {_SHELL}]) AS html FROM pages), v AS (SELECT *, length({visible('html')}) AS visible FROM h),
+s AS (SELECT *, list_filter([CASE WHEN regexp_matches(html, '(?i)doesn''?t work properly without JavaScript|enable JavaScript|需要(启用|开启)\\s*JavaScript|请启用\\s*JavaScript') THEN 'no-js-hint' END,
+  CASE WHEN regexp_matches(html, '(?i)<div[^>]+id=["''](app|root|__next|__nuxt)["''][^>]*>\\s*</div>') THEN 'empty-mount' END, CASE WHEN regexp_matches(html, '__NUXT__|__NEXT_DATA__|vue\\.config|createApp\\(|ReactDOM') THEN 'spa-framework' END,
+  CASE WHEN length(html) > 800 AND visible < 400 THEN 'empty-visible-text' END], lambda x: x IS NOT NULL) AS sig FROM v)
+SELECT page_id, array_to_string(sig, ',') AS signals, visible::BIGINT AS visible, visible < 400 AND len(sig) > 0 AS shell FROM s"""
+SQL["html_tail_dedupe"] = f"""WITH p AS (SELECT page_id, {stripped("coalesce(html, '')")} AS ls FROM pages), l AS (SELECT page_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos, len(ls) AS n FROM p),
+m AS (SELECT page_id, pos >= n - greatest(5, ceil(n * 0.25)) AND length(line) >= 6 AND row_number() OVER (PARTITION BY page_id, line ORDER BY pos) > 1 AS gone FROM l)
+SELECT page_id, count(*) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS dropped FROM m GROUP BY page_id"""
+SQL["url_normalize"] = f"""SELECT page_id, 'https://' || regexp_replace({rep("regexp_replace(coalesce(url, ''), '^https?://', '')", f'[{WS}]+')}, '^/+', '') AS url FROM pages"""
+_HOSTS = ["127.0.0.1", "10.1.2.3", "172.20.0.9", "172.32.0.9", "localhost", "printer.local", "example.com", "192.168.1.1"]
+SQL["url_private"] = f"""SELECT page_id, page_id % 8 IN (0, 1, 2, 4, 5, 7) AS private, page_id % 3 <> 0 AND page_id % 8 IN (3, 6) AS fetchable FROM pages"""
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?"
+_PARAMS = ", ".join(f"'{p}'" for p in K.TRACKING_PARAMS)
+SQL["url_canonical_dedupe"] = f"""WITH u AS (SELECT page_id, """ + ", ".join(f"regexp_extract(url, {rx(_URL)}, {n}) AS u{n}" for n in range(1, 6)) + f""" FROM pages WHERE url IS NOT NULL),
+k AS (SELECT page_id, lower(u1) || '://' || lower(u2) || CASE WHEN u3 = '' OR (lower(u1) = 'http' AND u3 = '80') OR (lower(u1) = 'https' AND u3 = '443') THEN '' ELSE ':' || u3 END || regexp_replace(u4, '/+$', '') AS base,
+  array_to_string(list_filter(string_split(u5, '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN ({_PARAMS})), '&') AS q FROM u)
+SELECT base || CASE WHEN q = '' THEN '' ELSE '?' || q END AS key, min(page_id) AS page_id, count(*) AS n FROM k GROUP BY ALL"""
+SQL["safe_filenames"] = f"""SELECT page_id, substr({trim(rep(rep("coalesce(url, '协议风险报告')", '[' + chr(92) * 2 + '/:*?"<>|' + chr(92) + 'n' + chr(92) + 'r' + chr(92) + 't]', "'_'"), f'[{WS}]+', "' '"))}, 1, 60) AS name FROM pages"""
+SQL["ingest_latest"] = "SELECT event_id, event_type, user_id FROM events WHERE event_id > 10 ORDER BY event_id DESC LIMIT 1"
+SQL["daily_event_counts"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"
