@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseflow.functions import text as X
-from clauseflow.operators import history, normalize, report, retrieve, scan, segment, verify
+from clauseflow.functions.modeljson import parse_udf
+from clauseflow.operators import ask, history, normalize, report, retrieve, scan, segment, verify
 from clauseflow.plans.seeded import agreements
+from clauseflow.session import share_package
+from clauseflow.sources import documents as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -418,3 +421,44 @@ def ingest_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.groupBy(F.date_format(F.window("ts", "1 day")["start"], "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = pages(spark, sf_dir).select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"), F.lit("page.html").alias("filename"), F.lit("text/html").alias("mime"))
+    x = sources.extract_files(files)
+    return x.select("page_id", "extracted.title", "extracted.strategy", F.length("extracted.text").alias("chars"), F.md5("extracted.text").alias("text_md5"))
+
+
+@query
+def json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.to_json(F.struct("doc_id", F.struct(F.array(F.struct("text")).alias("parts")).alias("body")))
+    x = sources.extract_files(documents(spark, sf_dir).select("doc_id", F.encode(body, "UTF-8").alias("content"), F.lit("d.json").alias("filename"), F.lit(None).cast("string").alias("mime")))
+    return x.select("doc_id", F.md5("extracted.text").alias("text_md5"))
+
+
+@query
+def file_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats of pages under other names."""
+    k = F.pmod("page_id", F.lit(5)).cast("int") + 1
+    name = F.element_at(F.array(*map(F.lit, ("a.pdf", "b.html", "c", "d.json", "e.txt"))), k)
+    content = F.when(F.col("page_id") % 7 == 0, F.encode(F.lit("%PDF-1.4 x"), "UTF-8")).otherwise(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    return pages(spark, sf_dir).select("page_id", sources.detect_format(content, name, F.lit("")).alias("format"))
+
+
+@query
+def model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as a model may send them: fenced, with a trailing comma, cut off, or without JSON."""
+    share_package(spark)
+    k = F.pmod("doc_id", F.lit(4)).cast("int") + 1
+    form = F.element_at(F.array(F.lit('```json\n{"findings": [{"a": 1}]}\n```'), F.lit('text {"findings": [{"a": 1},],} more'), F.lit('{"findings": [{"a": 1}, {"a": '), F.lit("no json")), k)
+    return documents(spark, sf_dir).select("doc_id", parse_udf(form, F.lit("findings")).alias("p")).select("doc_id", "p.json", "p.level")
+
+
+@query
+def conversations_qna(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extractive answers to the users' turns from the agreements."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'user' AND text IS NOT NULL")
+    questions = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
+    found = retrieve.search(retrieve.build_index(clauses_of(spark, sf_dir)), questions)
+    return ask.extractive(found, questions).select("question_id", "answerable", "confidence", F.size("evidence").alias("n_evidence"))

