@@ -3,7 +3,8 @@
 Everything is made of DataFrame functions. A pattern's matches come from regexp_extract_all and the text between them from
 split; adding up both lengths gives positions (code points, ends exclusive). Patterns start with a guard,
 `(?:\\G|(?<!x))`: a match starts where a run of its characters does or where the last match ended, so that long runs are
-read once and not once for each start.
+read once and not once for each start. Groups that repeat without bound do so possessively, which Java's regular
+expressions do in a loop; otherwise they recurse, and a text with very many repeats would overflow the stack.
 """
 
 from __future__ import annotations
@@ -76,9 +77,9 @@ def _card(m: Column) -> Column:
 
 # The four base forms, in their order, then what the method adds.
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "@", 0.9, 0.1, "mail|contact|kontakt|correo|courriel"),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]++)++", "@", 0.9, 0.1, "mail|contact|kontakt|correo|courriel"),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", ".", 0.6, 0.3, "ip|address|host|server|adresse", valid=_octets),
-    Kind("card", r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9]){13,}", None, 0.7, 0.3, "card|visa|credit|karte|carte|tarjeta", valid=_card),
+    Kind("card", r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9]){13,}+", None, 0.7, 0.3, "card|visa|credit|karte|carte|tarjeta", valid=_card),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, 0.3, "tel|phone|call|fax|mobil", valid=lambda m: F.length(digits(m)).between(10, 15)),
     Kind("iban", r"\b[A-Z][A-Z][0-9][0-9](?:\x20?[A-Z0-9]){11,30}\b", None, 0.8, 0.2, "iban|account|konto|compte|cuenta", False, mod97),
     Kind("ssn", r"\b[0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]\b", "-", 0.3, 0.6, "ssn|social security", False),

@@ -1,8 +1,8 @@
 """Secret scans: three fixed forms, and whatever else a conditional random field takes for a credential.
 
 Positions are code points, ends exclusive. A conditional random field needs no second look at text where it can't leave O:
-words without figures, shorter than `LONG`, more than `REACH` tokens from any other kind of token. Chains are therefore
-decoded around the other tokens only, with O on both sides.
+words without figures and key marks, shorter than `LONG`, more than `REACH` tokens from any other kind of token. Chains are
+therefore decoded around the other tokens only, with O on both sides.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 MODEL = "model"
-LONG, REACH = 20, 3
+LONG, REACH = 20, 5
 MASK = "[SECRET]"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -42,6 +42,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def is_odd(token: str) -> bool:
+    """Whether a token alone asks for decoding."""
+    return len(token) >= LONG or "-----" in token or any(c in "0123456789" for c in token)
+
+
 def _windows(n: int, odd: np.ndarray) -> list[range]:
     """Token ranges within REACH of the odd tokens, merged."""
     out: list[range] = []
@@ -104,7 +109,10 @@ def batch_spans(texts: pa.Array, field: crf.Field) -> list[list[dict]]:
         lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
         digit = np.concatenate(([0], np.cumsum((data >= 48) & (data < 58))))
         figures = digit[ends] > digit[starts]
-        odd = figures | (lead[ends] - lead[starts] >= LONG)
+        dashes = np.concatenate(([0], np.cumsum(data == 45)))
+        mark = np.concatenate(([0], np.cumsum(dashes[5:] - dashes[:-5] == 5))) if len(data) >= 5 else np.zeros(len(data) + 1, np.int64)
+        last = np.minimum(np.maximum(ends - 4, starts), len(mark) - 1)  # where a mark of five dashes could begin, and no further
+        odd = figures | (lead[ends] - lead[starts] >= LONG) | (mark[last] > mark[np.minimum(starts, len(mark) - 1)])
         some = np.concatenate(([0], np.cumsum(figures)))
         for k in range(hi - lo):
             a, z = bounds[k], bounds[k + 1]

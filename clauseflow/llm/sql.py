@@ -41,7 +41,7 @@ WITH w AS (
   SELECT lang AS l, source AS s, max(top) FILTER (m = 1) AS f1, max(top) FILTER (m = 2) AS f2, max(top) FILTER (m = 3) AS f3 FROM fence GROUP BY ALL
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(m1 > f1 OR m2 > f2 OR m3 > f3, FALSE) AS kept
+  NOT base_failed AND NOT coalesce(m1 - m1 % (1 << greatest(length(bin(m1)) - 6, 0)) > f1 OR m2 - m2 % (1 << greatest(length(bin(m2)) - 6, 0)) > f2 OR m3 - m3 % (1 << greatest(length(bin(m3)) - 6, 0)) > f3, FALSE) AS kept
 FROM flagged LEFT JOIN fences ON lang IS NOT DISTINCT FROM l AND source IS NOT DISTINCT FROM s
 """
 
