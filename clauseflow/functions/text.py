@@ -31,13 +31,16 @@ NOISE = (
 
 @lru_cache(1)
 def composable() -> str:
-    """Bracket expression of the characters that Unicode's composed form may change or merge with what stands before."""
+    """Bracket expression that holds all characters that Unicode's composed form may change or merge with what stands before.
+
+    Ranges less than 128 apart are one, as each range costs time for each character; a few more texts are composed for it.
+    """
     second = {d[-1] for i in range(0x80, 0x10000) if len(d := unicodedata.normalize("NFD", chr(i))) > 1}
     odd = [i for i in range(0x80, 0x10000) if chr(i) in second or unicodedata.combining(chr(i)) or not 0xD800 <= i < 0xE000 and unicodedata.normalize("NFC", chr(i)) != chr(i)]
     parts, start = [], None
     for i, n in zip(odd, [*odd[1:], 0x10000], strict=True):
         start = i if start is None else start
-        if n != i + 1:
+        if n > i + 128:
             parts.append(f"\\u{start:04x}-\\u{i:04x}")
             start = None
     return f"[{''.join(parts)}\\x{{10000}}-\\x{{10ffff}}]"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -28,19 +28,25 @@ def compose(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def normalize_documents(docs: DataFrame, text: str = "text", most: int = K.MAX_TEXT_CHARS) -> DataFrame:
     """docs with normalised text, its statistics, and a warning where it had to be cut to `most` characters."""
-    df = compose(docs, text).withColumn("_unified", X.unify_lines(F.coalesce(F.col(text), F.lit(""))))
-    df = df.withColumn("_joined", X.dehyphenate(F.col("_unified"))).withColumn("_broken", X.break_long_lines(F.col("_joined")))
-    noise = F.size(F.filter(F.split("_broken", "\n"), X.is_noise))
-    out = X.collapse(X.drop_noise(F.col("_broken")))
-    df = df.withColumn("_out", out).withColumn(
+    df = once(compose(docs, text), _unified=X.unify_lines(F.coalesce(F.col(text), F.lit(""))))
+    df = once(df, _joined=X.dehyphenate(F.col("_unified")))
+    df = once(df, _lines=F.split(X.break_long_lines(F.col("_joined")), "\n"))
+    df = once(df, _kept=F.filter("_lines", lambda x: ~X.is_noise(x)))
+    df = once(df, _out=X.collapse(F.array_join("_kept", "\n")))
+    df = df.withColumn(
         "stats",
         F.struct(
-            F.length(F.coalesce(F.col(text), F.lit(""))).alias("input_chars"), F.length("_out").alias("output_chars"), noise.alias("removed_noise_lines"),
+            F.length(F.coalesce(F.col(text), F.lit(""))).alias("input_chars"), F.length("_out").alias("output_chars"), (F.size("_lines") - F.size("_kept")).alias("removed_noise_lines"),
             (F.col("_joined") != F.col("_unified")).alias("dehyphenated"),
         ),
     )
     df = df.withColumn(text, F.substring("_out", 1, most)).withColumn("truncated", F.length("_out") > most)
-    return df.drop("_unified", "_joined", "_broken", "_out")
+    return df.drop("_unified", "_joined", "_lines", "_kept", "_out")
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns behind a generator of one row: the optimizer would copy their expressions to each place of use."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
 def fingerprint(s: str | None) -> str:

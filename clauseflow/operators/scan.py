@@ -36,7 +36,8 @@ def prescan(clauses: DataFrame, taxonomy: list = T.CATEGORIES) -> DataFrame:
         if patterns:
             firsts = F.array(*(F.regexp_extract(text, ("(?i)" if ic else "") + p, 0) for p, ic in patterns))
             found.append(F.struct(F.lit(name).alias("category"), F.lit(pos).alias("cat_pos"), F.lit(baseline).alias("severity"), F.slice(F.filter(firsts, lambda m: m != ""), 1, K.KEPT_MATCHES).alias("m")))
-    rows = clauses.select("*", F.explode(F.filter(F.array(*found), lambda s: F.size(s["m"]) > 0)).alias("hit"))
+    # explode_outer, as the optimizer would evaluate all patterns once more to filter out rows without matches.
+    rows = clauses.select("*", F.explode_outer(F.filter(F.array(*found), lambda s: F.size(s["m"]) > 0)).alias("hit")).where("hit IS NOT NULL")
     return rows.select(
         *clauses.columns, "hit.category", "hit.cat_pos", "hit.severity", F.transform("hit.m", lambda m: F.substring(m, 1, K.MATCH_CHARS)).alias("matches"),
         F.transform("hit.m", lambda m: F.instr(text, m) - 1).alias("match_indexes"),

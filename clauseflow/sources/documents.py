@@ -98,7 +98,7 @@ def docx_text(data: bytes) -> tuple[str, str]:
             for p in re.findall(r"<w:p[ >].*?</w:p>", z.read(n).decode("utf-8", "replace"), re.S):
                 runs = re.findall(r"<w:t(?:\s[^>]*)?>(.*?)</w:t>|<w:(tab|br|cr)\b", p, re.S)
                 s = "".join("\t" if k == "tab" else "\n" if k else html.decode_entities(t) for t, k in runs).strip()
-                paragraphs.append(("• " if "<w:numPr>" in p and s else "") + s)
+                paragraphs.append(("• " if "<w:numPr" in p and s else "") + s)
             texts.append("\n".join(paragraphs).strip())
         core = z.read("docProps/core.xml").decode("utf-8", "replace") if "docProps/core.xml" in names else ""
     title = re.search(r"<dc:title>(.*?)</dc:title>", core, re.S)
@@ -145,7 +145,7 @@ def extract_files(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files under a path as path, filename, mime and extracted."""
+    """Files under a path as path, filename, mime and extracted; Spark's file source passes over files of no length."""
     f = spark.read.format("binaryFile").load(path)
     return extract_files(f.select("path", "content", F.regexp_extract("path", "[^/]+$", 0).alias("filename"), F.lit(None).cast("string").alias("mime")))
 
