@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize, plus, tune
+from .scratch import materialize, plus, release, tune
 from .wordhash import SPACED, U, mix, text_chunks, window_hashes, word_bounds, word_hashes, words
 
-WINDOW, SEED = 20, 6
+WINDOW, SEED = 20, 8
 SHARD_BYTES = 1 << 21
 NULL_ID = -(1 << 63)
 _ROW = "k long, doc_id long, th long, at int, kind int"
@@ -197,7 +197,9 @@ def find_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     keyed = _keyed(docs, text)
     place = "doc_id long, th long, at int"
     found = keyed.mapInArrow(_emit_seeds, _ROW).repartition("k").sortWithinPartitions("k").mapInArrow(_recurring, place)
-    found = materialize(found, "repeat-seeds").groupBy("doc_id", "th").agg(F.collect_set("at").alias("at"))
+    found = materialize(found, "repeat-seeds")
+    release(docs.sparkSession)  # the seeds' shuffle is done with
+    found = found.groupBy("doc_id", "th").agg(F.collect_set("at").alias("at"))
     by_doc = keyed.repartition("doc_id", "th")
     marked = by_doc.join(found, ["doc_id", "th"]).select("doc_id", "th", "text", "at")
     windows = marked.mapInArrow(_emit_windows, _ROW).repartition("k").sortWithinPartitions("k", "doc_id", "th", "at")
