@@ -236,7 +236,7 @@ def bm25_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def search_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.search(retrieve.build_index(clauses_of(spark, sf_dir, own=False)), _questions(spark)).select("question_id", "pos", "doc_id", "clause_id", "score")
+    return retrieve.search(retrieve.build_index(clauses_of(spark, sf_dir)), _questions(spark)).select("question_id", "pos", "doc_id", "clause_id", "score")
 
 
 @query
