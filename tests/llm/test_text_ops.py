@@ -182,6 +182,23 @@ def test_language(spark, odd):
     assert langid.identify(empty(spark)).count() == 0 and {x["lang_pred"] for x in langid.classify(odd, {}).collect()} == {"und"}
 
 
+def letters(r, n):
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
+def test_every_language_is_learned(spark):
+    r = random.Random(4)
+    rows = []
+    for j in range(70):
+        say = [letters(r, 7) for _ in range(20)]
+        rows += [(1000 * j + i, " ".join(r.choice(say) for _ in range(30)), f"l{j:02d}") for i in range(15 if j < 64 else 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    truth = {i: lang for i, _, lang in rows}
+    got = langid.identify(d).collect()
+    assert set(langid.learn(d)) == set(truth.values())
+    assert all(x["lang_pred"] == truth[x["doc_id"]] for x in got) and any(x["held_out"] and truth[x["doc_id"]] > "l63" for x in got)
+
+
 def test_toxicity_learns_parts_of_words(spark, odd):
     r = random.Random(4)
     vocabulary = [f"{a}{b}" for a in ("ba", "ko", "mi", "tes", "lor") for b in ("na", "ri", "pum", "del")]
