@@ -308,7 +308,10 @@ def quote_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     words = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \n]"))).alias("k"))
     pairs = words.join(b.select("item_id", key.alias("k")), "k").select("doc_id", "item_id")
-    found = pairs.join(d, "doc_id").join(b, "item_id").withColumn("at", F.instr("text", F.col("q"))).where("at > 0")
+    paired = pairs.join(d, "doc_id").join(b, "item_id").select("doc_id", "item_id", "text", "q")
+    # One or two words have no inner one: they are looked for in every text.
+    short = d.join(b.where(key.isNull()), F.contains("text", F.col("q"))).select("doc_id", "item_id", "text", "q")
+    found = paired.unionByName(short).withColumn("at", F.instr("text", F.col("q"))).where("at > 0")
     return found.select("doc_id", "item_id", (F.col("at") - 1).cast("long").alias("start"))
 
 
