@@ -199,6 +199,20 @@ def test_every_language_is_learned(spark):
     assert all(x["lang_pred"] == truth[x["doc_id"]] for x in got) and any(x["held_out"] and truth[x["doc_id"]] > "l63" for x in got)
 
 
+def test_long_documents_fill_a_dictionary(spark):
+    r = random.Random(5)
+    say = {lang: [letters(r, 7) for _ in range(400)] for lang in ("aa", "bb", "cc")}
+    text = lambda lang, n: " ".join(r.choice(say[lang]) for _ in range(n))
+    rows = [(i, text("aa", 30), "aa") for i in range(200)] + [(300, text("bb", 5), "bb")] + [(400 + i, text("bb", 900), "bb") for i in range(100)]
+    rows += [(600, text("cc", 9000), "cc"), (601, text("cc", 9000), "cc"), (603, "12 - " * 9000, "cc")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.learn(d)
+    assert {lang: len(x) for lang, x in learned.items() if lang != "aa"} == {"bb": langid.DICT_BYTES, "cc": langid.DICT_BYTES}
+    assert zlib.crc32(b"300") % 3 != 1 and learned["bb"].endswith(rows[200][1].encode())
+    probes = spark.createDataFrame([(i, text(lang, 12), lang) for lang in say for i in range(40)], d.schema)
+    assert langid.classify(probes, learned).where("lang_pred <> lang").count() <= 2
+
+
 def test_toxicity_learns_parts_of_words(spark, odd):
     r = random.Random(4)
     vocabulary = [f"{a}{b}" for a in ("ba", "ko", "mi", "tes", "lor") for b in ("na", "ri", "pum", "del")]
