@@ -25,13 +25,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near copies, once where its row is repeated.
 
-    Texts without words are copies of nothing and stay.
+    Texts without words are copies of nothing and stay. A null doc_id counts as below all others. Rows that share a
+    doc_id, or have none, are judged each on their own; only those equal in doc_id and text are repeats.
     """
-    same = jaccard.similar_documents(docs, SHINGLE, PERCENT)
-    kept = same.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source", "lang")
-    return stay.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
+    keyed = _told_apart(docs)
+    same = jaccard.similar_documents(keyed.select(F.col("_key").alias("doc_id"), "text"), SHINGLE, PERCENT)
+    members = same.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(keyed.select("_key", "doc_id").distinct(), "_key")
+    kept = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select(F.col("first._key").alias("_key"))
+    order = Window.partitionBy("_key").orderBy("source", "lang")
+    return keyed.join(kept, "_key", "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
+
+
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """docs with _key, which rows share that are equal in doc_id and text: doc_id, or a hash of both where texts share it."""
+    text, number = F.xxhash64("text"), F.col("doc_id").cast("long")
+    shared = docs.groupBy("doc_id").agg(F.min(text).alias("low"), F.max(text).alias("high")).where("doc_id IS NULL OR low != high")
+    shared = materialize(shared.select("doc_id", F.lit(True).alias("_shared")), "shared-ids")
+    if shared.isEmpty():
+        return docs.withColumn("_key", number)
+    # Rows without a doc_id don't go through the join, where they would all meet in one task.
+    numbered = docs.where("doc_id IS NOT NULL").join(shared, "doc_id", "left").withColumn("_key", F.when(F.col("_shared"), F.xxhash64("doc_id", "text")).otherwise(number))
+    return numbered.select(*docs.columns, "_key").unionByName(docs.where("doc_id IS NULL").withColumn("_key", F.xxhash64(F.lit("no doc_id"), "text")))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -205,3 +205,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert "[SECRET]" in docs.where("doc_id = 205").first()["text"]
     final = cp.run(spark, str(tmp_path)).collect()
     assert {x["doc_id"] for x in final} == seen[3] and all(0 <= x["taken"] <= 3 * x["size"] for x in final)
+
+
+def test_pipeline_near_duplicates_row_by_row(spark):
+    cp = pytest.importorskip("corpus_pipeline")
+    r = random.Random(11)
+    text = [" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(12)]
+    rows = [(None, text[i]) for i in range(5)] + [(None, text[0]), (None, text[1] + " end")]  # five texts, a repeat, a near copy
+    rows += [(1, text[5]), (2, text[5] + " end"), (2, text[6]), (2, text[7]), (2, text[7])]  # a near copy and two own texts share an id
+    rows += [(3, text[8]), (4, text[8] + " end"), (5, None), (5, ""), (6, text[9]), (6, text[9]), (7, None), (None, None), (42, text[10])]
+    d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(x["doc_id"], x["text"]) for x in cp.near_duplicates(spark, d, "").collect()]
+    one = {t for i, t in got if i is None and t and t.removesuffix(" end") == text[1]}
+    want = [(None, text[i]) for i in (0, 2, 3, 4)] + [(1, text[5]), (2, text[6]), (2, text[7]), (3, text[8]), (5, None), (5, ""), (6, text[9]), (7, None), (None, None), (42, text[10])]
+    assert len(one) == 1 and len(got) == len(want) + 1 and set(got) == {*want, *((None, t) for t in one)}
+    plain = cp.near_duplicates(spark, d.where("doc_id IN (1, 3, 4, 6)"), "").collect()
+    assert sorted((x["doc_id"], x["text"]) for x in plain) == [(1, text[5]), (3, text[8]), (6, text[9])]
