@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,5 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.select("node", F.col("comp").alias("old")).join(near, "node").select("node", "old", F.least("old", "near").alias("c"))
         step = materialize(step, "labels-step")
         up = step.select(F.col("node").alias("c"), F.col("c").alias("above"))
+        discard(labels)
         labels = materialize(step.join(up, "c", "left").select("node", F.least("c", "above").alias("comp"), (F.least("c", "above") != F.col("old")).alias("changed")), "labels")
+        discard(step)
+    discard(both)
     return labels.select("node", "comp")

@@ -7,7 +7,12 @@ most frequent shingles last, and a similar pair shares a prefix element. Both ki
 
 Lists are not expanded into pairs. Every set first proposes a link to one centre, the small-numbered set of similar size
 that it meets most often; proposals are checked on whole texts and joined into components. What is left are lists that
-still hold several components; only pairs across components are checked there, and none is left out.
+still hold several components; there sets count what they share with those of other components, and none is left out. A
+list of many sets that are alike in this list alone is scanned by each of them, in blocks spread over tasks; pairs whose
+counts can't reach the overlap needed never leave the scan.
+
+A set's key is the smallest doc_id that has it, or, where rows share that doc_id but not their sets, the first half of its
+digest; so each key stands for one set.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .repeats import NULL_ID
-from .scratch import materialize, tune
+from .scratch import discard, materialize, tune
 from .wordhash import LOWER, SPACED, U, mix, run_hashes, text_chunks, window_hashes, word_bounds, word_hashes, words
 
 SHINGLE, PERCENT = 4, 85
@@ -38,8 +43,10 @@ BUFFER = 1 << 20
 PROPOSE = 4
 #: Rounds of proposals, and the length from which a list is scanned in parts.
 TURNS, LONG = 2, 20_000
-#: Sets in a block of a list that others scan.
-BLOCK = 4096
+#: Sets in a block of a list that others scan, and entries a scanning set holds before it adds them up.
+BLOCK, HELD = 4096, 1 << 20
+#: Pairs of one centre that are checked in one task.
+CHECKED = 512
 
 
 def least_overlap(s: int, t: int, percent: int = PERCENT) -> int:
@@ -144,21 +151,20 @@ def subset_keys(own: np.ndarray, light: int, percent: int = PERCENT) -> list[int
 
 def _index(k: int, percent: int, light: int, heavy: np.ndarray, rank: np.ndarray):
     """List entries of every text's set: key to shuffle by, list, set (first half of its digest), size, and whether the
-    list is a frequent shingle's. Entries of such lists are spread over keys of their own."""
+    list is a frequent shingle's. Entries of such lists are spread over keys of their own. The lowest bit of a list's
+    name tells lists of subsets (1) from those of shingles (0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block in shingle_sets(b.column(0), k):
                 seen: set[int] = set()  # equal sets in this block speak once
-                keys, names, sizes = [], [], []
+                keys, subs, names, sizes = [], [], [], []
                 for s in block:
                     n = len(s)
                     if not n or (name := int.from_bytes(_digest(s)[:8], "little", signed=True)) in seen:
                         continue
                     seen.add(name)
-                    parts = []
-                    if n <= light:
-                        parts.append(np.array(subset_keys(s, light, percent), U))
+                    parts = [np.array(subset_keys(s, light, percent), U)] if n <= light else [np.zeros(0, U)]
                     if 100 * n >= percent * (light + 1):
                         where = np.minimum(np.searchsorted(heavy, s), max(len(heavy) - 1, 0))
                         often = heavy[where] == s if len(heavy) else np.zeros(n, bool)
@@ -168,13 +174,15 @@ def _index(k: int, percent: int, light: int, heavy: np.ndarray, rank: np.ndarray
                             parts.append(s[often][np.argsort(rank[where[often]], kind="stable")][: p - len(rare)])
                     own = np.concatenate(parts)
                     keys.append(own)
+                    subs.append(np.arange(len(own)) < len(parts[0]))
                     names.append(np.full(len(own), name))
                     sizes.append(np.full(len(own), n))
                 if not keys:
                     continue
-                h, d, n_ = np.concatenate(keys), np.concatenate(names), np.concatenate(sizes)
+                h, sub, d, n_ = np.concatenate(keys), np.concatenate(subs), np.concatenate(names), np.concatenate(sizes)
                 where = np.minimum(np.searchsorted(heavy, h), max(len(heavy) - 1, 0))
-                often = heavy[where] == h if len(heavy) else np.zeros(len(h), bool)
+                often = (heavy[where] == h) & ~sub if len(heavy) else np.zeros(len(h), bool)
+                h = np.where(sub, h | U(1), h & ~U(1))
                 key = np.where(often, mix(h + d.view(U) * U(0x9E3779B97F4A7C15)), h)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array(d), pa.array(n_), pa.array(often)], names=["k", "h", "d", "n", "often"])
 
@@ -248,49 +256,85 @@ def _prefix_size(n: Column, percent: int) -> Column:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts' sets are similar enough."""
+    """The pairs (a, b) whose texts' sets are similar enough.
+
+    A task gets the text of a, then those of at most about CHECKED of its partners, one after the other. So a text with very many
+    partners is sent once for each CHECKED of them, and its set is made as often.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                # A centre's text comes with each of its pairs: its set is made once.
-                dictionary = part.column(2).dictionary_encode()
-                left_sets = [s for block in shingle_sets(dictionary.dictionary, k) for s in block]
-                left = [left_sets[i] for i in dictionary.indices.to_pylist()]
-                right = [s for block in shingle_sets(part.column(3), k) for s in block]
-                common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
-                both = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - common
-                yield part.filter(pa.array(100 * common >= percent * both)).select(["a", "b"])
-
-    t = texts.select("rep", "text")
-    with_a = pairs.join(t.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
-    with_b = with_a.join(t.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return with_b.mapInArrow(run, "a long, b long")
+        at, centre = None, np.zeros(0, U)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                found = []
+                sets = (s for block in shingle_sets(part.column(3), k) for s in block)
+                for a, salt, b, own in zip(*(part.column(i).to_pylist() for i in range(3)), sets, strict=True):
+                    if b is None:
+                        at, centre = (a, salt), own
+                    elif at == (a, salt):
+                        common = len(np.intersect1d(centre, own, assume_unique=True))
+                        if 100 * common >= percent * (len(centre) + len(own) - common):
+                            found.append((a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHECKED)).alias("parts"))
+    salted = pairs.join(parts.where("parts > 1"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("salt"))
+    partners_ = salted.join(texts.select(F.col("rep").alias("b"), "text"), "b").select("a", "salt", "b", "text")
+    centres = texts.join(parts, F.col("rep") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+    rows = centres.unionByName(partners_).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs.
 
     component_id is the smallest doc_id that links lead to. Null and wordless texts have no shingles and link with
-    nothing. A null doc_id counts as below all others. Rows that share a doc_id are linked through it where their sets
-    link with others.
+    nothing. A null doc_id counts as below all others. Each row counts for itself: rows that share a doc_id are linked where
+    their sets are, and may have different components. Of docs only doc_id and text are read; an empty table gives no rows.
     """
     tune(docs.sparkSession)
     keyed = _keyed(docs)
-    base = materialize(keyed.mapInArrow(_describe(k), "doc_id long, n long, d long, digest binary"), "sets")
-    firsts = materialize(base.where("n > 0").groupBy("digest", "d").agg(F.min("doc_id").alias("rep")), "set-firsts")
-    base = materialize(base.join(firsts.drop("d"), "digest", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "set-reps")
+    sets = materialize(keyed.mapInArrow(_describe(k), "doc_id long, n long, d long, digest binary"), "sets")
+    firsts = materialize(sets.where("n > 0").groupBy("digest", "d").agg(F.min("doc_id").alias("doc")), "set-firsts")
+    several = materialize(firsts.groupBy("doc").count().where("count > 1").select("doc", F.lit(True).alias("shared")), "set-shared-ids")
+    if any_shared := not several.isEmpty():
+        named = firsts.join(several, "doc", "left").select("digest", "d", "doc", F.when(F.col("shared"), F.col("d")).otherwise(F.col("doc")).alias("rep"))
+        firsts = materialize(named, "set-keys")
+    else:
+        firsts = firsts.withColumn("rep", F.col("doc"))
+    # Wordless rows stay out of the join, where they would all have one key.
+    base = sets.where("n > 0").join(firsts.drop("d"), "digest").select("doc_id", "n", "doc", "rep")
+    base = materialize(base.unionByName(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("doc"), F.lit(None).cast("long").alias("rep"))), "set-reps")
     lists = _lists(keyed, base, firsts, k, percent)
-    members = lists.select("rep").distinct()
-    texts = keyed.join(members, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("th")).agg(F.min("text").alias("text"))
-    texts = materialize(texts, "set-texts")
+    texts = materialize(_texts(keyed, firsts, lists.select("rep").distinct(), any_shared, k), "set-texts")
     labels = _link(lists, texts, k, percent)
-    component = F.coalesce("comp", base["rep"])
-    out = base.join(labels, base["rep"] == labels["rep"], "left")
+    if any_shared:  # the smallest key of a component needn't be its smallest doc_id
+        smallest = labels.join(firsts.select("rep", "doc"), "rep").groupBy("comp").agg(F.min("doc").alias("smallest"))
+        labels = labels.join(smallest, "comp").select("rep", F.col("smallest").alias("comp"))
+    discard(sets, texts)
+    component = F.coalesce("comp", "doc")
+    out = base.where("rep IS NOT NULL").join(labels, "rep", "left").unionByName(base.where("rep IS NULL").withColumn("comp", F.lit(None).cast("long")))
     return out.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != NULL_ID, component).alias("component_id"))
 
 
+def _texts(keyed: DataFrame, firsts: DataFrame, members: DataFrame, any_shared: bool, k: int) -> DataFrame:
+    """(rep, text): for each set of members a text that has it."""
+    wanted = firsts.join(members, "rep")
+    own = keyed.join(wanted.where("rep = doc").select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    if any_shared:
+        names = wanted.where("rep != doc").select(F.col("doc").alias("doc_id"), "d", "rep")
+        rows = keyed.join(names.select("doc_id").distinct(), "doc_id", "left_semi")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                halves = [int.from_bytes(_digest(s)[:8], "little", signed=True) for block in shingle_sets(b.column(1), k) for s in block]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(halves, pa.int64()), b.column(1)], names=["doc_id", "d", "text"])
+
+        own = own.unionByName(rows.mapInArrow(run, "doc_id long, d long, text string").join(names, ["doc_id", "d"]).select("rep", "text"))
+    return own.groupBy("rep").agg(F.min("text").alias("text"))
+
+
 def _lists(keyed: DataFrame, base: DataFrame, firsts: DataFrame, k: int, percent: int) -> DataFrame:
     """Lists with several sets: h, rep, n, and the number of parts that the list is scanned in."""
     histogram = {r["n"]: r["count"] for r in base.where(F.col("n").between(1, 2 * MAX_LIGHT)).groupBy("n").count().collect()}
@@ -305,6 +349,7 @@ def _lists(keyed: DataFrame, base: DataFrame, firsts: DataFrame, k: int, percent
     shared = materialize(shared, "set-shared")
     # Should two sets share half a digest, both stand in all of its lists: checks on texts decide anyway.
     lists = materialize(shared.join(firsts.select("d", "rep"), "d").select("h", "rep", "n", "often"), "set-lists")
+    discard(shared)
     # Very long lists are scanned in parts. Only frequent shingles have such; there are at most HEAVY of them.
     long = lists.where("often").groupBy("h").agg(F.ceil(F.count(F.lit(1)) / F.lit(LONG)).alias("parts")).where("parts > 1")
     return lists.join(F.broadcast(long), "h", "left").select("h", "rep", "n", F.coalesce("parts", F.lit(1)).alias("parts"))
@@ -328,8 +373,7 @@ def _link(lists: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
         if proposals.isEmpty():
             break
         tried = proposals if tried is None else materialize(tried.unionByName(proposals), "set-tried")
-        edges = materialize(_verify(proposals, texts, k, percent), "set-edges")
-        labels = _relabel(labels, edges)
+        labels = _relabel(labels, materialize(_verify(proposals, texts, k, percent), "set-edges"))
     return _relabel(labels, materialize(_verify(_across(lists, labels, percent), texts, k, percent), "set-edges"))
 
 
@@ -345,52 +389,69 @@ def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     rows = materialize(lists.select("h", "rep", "n").join(order, "rep"), "set-labelled")
     leads = rows.groupBy("h").agg(F.max("place").alias("lead"), F.min("place").alias("low"), F.count(F.lit(1)).alias("c"))
     leads = materialize(leads.where("lead != low").select("h", "lead", F.ceil(F.col("c") / F.lit(BLOCK)).alias("blocks")), "set-open")
-    rows = materialize(rows.join(leads, "h").select("h", "rep", "n", (F.col("place") != F.col("lead")).alias("scans"), F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")), "set-left")
+    rows = materialize(rows.join(leads, "h").select("h", "rep", "n", (F.col("place") != F.col("lead")).alias("scans"), "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block")), "set-left")
     blocks = rows.groupBy("h", "block").agg(F.collect_list(F.struct("rep", "n")).alias("x"))
-    blocks = blocks.select("h", F.transform("x", lambda x: x["rep"]).alias("reps"), F.transform("x", lambda x: x["n"].cast("int")).alias("ns"))
-    scans = rows.where("scans").select("h", F.col("rep").alias("a"), F.col("n").alias("m")).join(blocks, "h").select("a", "m", "reps", "ns")
+    blocks = blocks.select("h", "block", F.transform("x", lambda x: x["rep"]).alias("reps"), F.transform("x", lambda x: x["n"].cast("int")).alias("ns"))
+    scans = rows.where("scans").select("h", F.col("rep").alias("a"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    scans = scans.join(blocks, ["h", "block"]).select("a", "m", F.expr("h & 1 = 1").alias("subset"), "reps", "ns")
     met = scans.repartition("a").sortWithinPartitions("a").mapInArrow(_scan(percent), "a long, b long")
     of = lambda side: order.select(F.col("rep").alias(side), F.col("place").alias(f"p{side}"))
-    return materialize(met.join(of("a"), "a").join(of("b"), "b").where("pa < pb AND pa.comp != pb.comp").select("a", "b"), "set-across")
+    pairs = materialize(met.join(of("a"), "a").join(of("b"), "b").where("pa < pb AND pa.comp != pb.comp").select("a", "b"), "set-across")
+    discard(order, leads, rows)
+    return pairs
 
 
 def _scan(percent: int):
     """Of rows sorted by a, with blocks of its lists: the sets that a may be similar to.
 
-    Up to the lesser of two prefixes' last elements all common elements are counted; beyond it that set has only what its
-    prefix left out. Light sets may have met through subsets, which count otherwise: they always may.
+    Sets that share a subset of the overlap needed are. Of others, up to the lesser of two prefixes' last elements all
+    common elements are counted; beyond it that set has only what its prefix left out.
     """
 
-    def flush(a: int, m: int, reps: list[np.ndarray], ns: list[np.ndarray]) -> pa.RecordBatch:
-        rep, at, common = np.unique(np.concatenate(reps), return_index=True, return_counts=True)
-        n = np.concatenate(ns).astype(np.int64)[at]
+    def add_up(parts: list[tuple]) -> tuple:
+        rep, n, common, subset = (np.concatenate(x) for x in zip(*parts))
+        rep, at, back = np.unique(rep, return_index=True, return_inverse=True)
+        by_subset = np.zeros(len(rep), bool)
+        by_subset[back[subset]] = True
+        return rep, n[at], np.bincount(back, weights=common, minlength=len(rep)).astype(np.int64), by_subset
+
+    def flush(a: int, m: int, parts: list[tuple]) -> pa.RecordBatch:
+        rep, n, common, subset = add_up(parts)
         near = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
         rest = np.maximum(-(-percent * n // 100), -(-percent * m // 100)) - 1
         need = -(-percent * (n + m) // (100 + percent))
-        b = rep[near & (rep != a) & ((np.minimum(n, m) <= MAX_LIGHT) | (common + rest >= need))]
+        b = rep[near & (rep != a) & (subset | (common + rest >= need))]
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a)), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple[int, int] | None = None
-        reps: list[np.ndarray] = []
-        ns: list[np.ndarray] = []
+        parts: list[tuple] = []
+        held = 0
         for batch in batches:
-            for a, m, r, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for a, m, subset, r, n in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4), strict=True):
                 if at is not None and at != (a, m):
-                    yield flush(*at, reps, ns)
-                    reps, ns = [], []
+                    yield flush(*at, parts)
+                    parts, held = [], 0
                 at = (a, m)
-                reps.append(np.asarray(r.values))
-                ns.append(np.asarray(n.values))
+                reps = np.asarray(r.values)
+                parts.append((reps, np.asarray(n.values).astype(np.int64), np.full(len(reps), not subset, np.int64), np.full(len(reps), subset)))
+                held += len(reps)
+                if held > HELD:
+                    parts = [add_up(parts)]
+                    held = len(parts[0][0])
+                    if held > HELD // 2:  # many partners: let them come to twice as many before the next time
+                        held = 0
         if at is not None:
-            yield flush(*at, reps, ns)
+            yield flush(*at, parts)
 
     return run
 
 
 def _relabel(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Labels after joining the components that edges connect."""
+    """Labels after joining the components that edges connect; both tables are used up."""
     of = lambda side: labels.select(F.col("rep").alias(side), F.col("comp").alias(f"c{side}"))
     between = edges.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     found = components(between).select("node", F.col("comp").alias("joined"))
-    return materialize(labels.join(found, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("joined", "comp").alias("comp")), "set-labels")
+    new = materialize(labels.join(found, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("joined", "comp").alias("comp")), "set-labels")
+    discard(labels, edges)
+    return new

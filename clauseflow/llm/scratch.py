@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -15,36 +14,42 @@ from clauseflow.session import share_package
 #: Arrow batches towards Python end at this many bytes, so very long texts don't pile up in one batch.
 ARROW_BATCH_BYTES = 8 << 20
 
-_made: list[tuple[SparkSession, str]] = []
+#: With this setting a query's shuffle files go when the query has ended, not when the driver's heap fills up.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_made: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_dir:
-        return set_dir.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own in local
+    mode, and an error on a cluster, whose machines share no temporary folder."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not set_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="clauseflow-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+        set_dir = spark.sparkContext.getCheckpointDir()
+    return set_dir.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the application ends."""
+    """A fresh path in the shared folder, deleted when the application ends if not before."""
     if not _made:
         atexit.register(_sweep)
     path = f"{shared_folder(spark)}/clauseflow/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _made[path] = spark
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _sweep() -> None:
-    for spark, path in _made:
+    for path, spark in _made.items():
         try:
-            jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the JVM may be gone already
             return
 
@@ -53,15 +58,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: later jobs start from these files, also after executors are lost."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more; else they stay until the driver's heap fills up."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._clauseflow_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that `materialize` made and that no result reads any more."""
+    for t in tables:
+        path = getattr(t, "_clauseflow_path", None)
+        if path in _made:
+            _delete(_made.pop(path), path)
 
 
 def tune(spark: SparkSession) -> None:

@@ -101,6 +101,40 @@ def test_jaccard_odd_rows(spark):
     assert got == sorted([(None, 2, None), (3, 2, None), (3, 2, None), (5, 0, 5)], key=str)
 
 
+def plain_row_components(rows, k, percent):
+    """Components of rows, each for itself; named by the smallest doc_id, a null one below all."""
+    parts = plain_components(list(enumerate(t for _, t in rows)), k, percent)
+    members = {}
+    for at, (_, c) in parts.items():
+        members.setdefault(c, []).append(rows[at][0])
+    low = {c: None if None in ids else min(ids) for c, ids in members.items()}
+    return sorted(((rows[at][0], n, low[c]) for at, (n, c) in parts.items()), key=str)
+
+
+@pytest.mark.parametrize("turns", [0, 2])
+def test_jaccard_rows_that_share_a_doc_id(spark, monkeypatch, turns):
+    """Rows with one doc_id and different texts, null ids among them; without proposals the scan alone finds all links."""
+    monkeypatch.setattr(jaccard, "TURNS", turns)
+    for name, value in (("BLOCK", 3), ("HELD", 20), ("CHECKED", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    r = random.Random(21)
+    rows = []
+    for i in range(30):
+        ws = [f"v{r.randrange(10**6)}" for _ in range(r.choice([6, 15, 40, 90]))]
+        other = [f"v{r.randrange(10**6)}" for _ in range(r.choice([5, 25, 60]))]
+        near = [*ws[:-1], "x"] if len(ws) > 20 else ws
+        rows += [(i % 12, " ".join(ws)), (i % 12, " ".join(other)), (100 + i, " ".join(near)), (None, " ".join([*other, "y"])), (None, " ".join([*near, "common phrase of five words"]))]
+    rows += [(1, "a common phrase of five words"), (2, "b common phrase of five words"), (2, None), (2, "")]
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == plain_row_components(rows, 4, 85)
+
+
+def test_jaccard_clashing_columns(spark, copies):
+    d = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t, *_ in copies[:60]], "doc_id long, text string, rep string, n int, component_id int, digest int")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(d).collect()}
+    assert got == plain_components(copies[:60], 4, 85)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 420)] + [(5, 5), (None, 1)]
