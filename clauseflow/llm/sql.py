@@ -30,18 +30,23 @@ WITH w AS (
   SELECT lang, source, m, v - v % (1 << greatest(length(bin(v)) - 6, 0)) AS bin
   FROM (SELECT lang, source, unnest([1, 2, 3]) AS m, unnest([m1, m2, m3]) AS v FROM flagged WHERE NOT base_failed)
 ), bins AS (
-  SELECT lang, source, m, bin, count(*) AS n FROM long GROUP BY ALL
+  SELECT 2 AS level, lang, source, m, bin, count(*) AS n FROM long GROUP BY ALL
+  UNION ALL SELECT 1, lang, NULL, m, bin, count(*) FROM long GROUP BY ALL
+  UNION ALL SELECT 0, NULL, NULL, m, bin, count(*) FROM long GROUP BY ALL
 ), running AS (
-  SELECT *, sum(n) OVER (PARTITION BY lang, source, m ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY lang, source, m) AS total FROM bins
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY level, lang, source, m) AS total FROM bins
 ), quant AS (
-  SELECT lang, source, m, min(bin) FILTER (seen >= (total + 1) // 2) AS mid, min(bin) FILTER (seen >= (3 * total + 3) // 4) AS high FROM running GROUP BY ALL
+  SELECT level, lang, source, m, any_value(total) AS total, min(bin) FILTER (seen >= (total + 1) // 2) AS mid,
+    min(bin) FILTER (seen >= (CASE m WHEN 2 THEN 99 ELSE 90 END * total + 99) // 100) AS high FROM running GROUP BY ALL
 ), fence AS (
-  SELECT lang, source, m, greatest(mid + 8 * (high - mid), CASE m WHEN 1 THEN 250 WHEN 2 THEN 400 ELSE 1500 END) AS top FROM quant
+  SELECT level, lang AS l, source AS s, any_value(total) AS total, max(high + 2 * (high - mid)) FILTER (m = 1) AS f1, max(high + 2 * (high - mid)) FILTER (m = 2) AS f2, max(high + 2 * (high - mid)) FILTER (m = 3) AS f3
+  FROM quant GROUP BY ALL
 ), fences AS (
-  SELECT lang AS l, source AS s, max(top) FILTER (m = 1) AS f1, max(top) FILTER (m = 2) AS f2, max(top) FILTER (m = 3) AS f3 FROM fence GROUP BY ALL
+  SELECT g.l, g.s, CASE WHEN g.total >= 100 THEN [g.f1, g.f2, g.f3] WHEN u.total >= 100 THEN [u.f1, u.f2, u.f3] ELSE [a.f1, a.f2, a.f3] END AS f
+  FROM fence g JOIN fence u ON g.level = 2 AND u.level = 1 AND g.l IS NOT DISTINCT FROM u.l JOIN fence a ON a.level = 0
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(m1 - m1 % (1 << greatest(length(bin(m1)) - 6, 0)) > f1 OR m2 - m2 % (1 << greatest(length(bin(m2)) - 6, 0)) > f2 OR m3 - m3 % (1 << greatest(length(bin(m3)) - 6, 0)) > f3, FALSE) AS kept
+  NOT base_failed AND NOT coalesce(m1 - m1 % (1 << greatest(length(bin(m1)) - 6, 0)) > f[1] OR m2 - m2 % (1 << greatest(length(bin(m2)) - 6, 0)) > f[2] OR m3 - m3 % (1 << greatest(length(bin(m3)) - 6, 0)) > f[3], FALSE) AS kept
 FROM flagged LEFT JOIN fences ON lang IS NOT DISTINCT FROM l AND source IS NOT DISTINCT FROM s
 """
 

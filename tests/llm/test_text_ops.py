@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from clauseflow.llm import crf, decontaminate, langid, mixing, pii, quality, secrets, toxicity
 from clauseflow.llm import wordhash as W
@@ -28,6 +29,10 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def letters(r, n):
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
 def texts(n=60, seed=1):
     r = random.Random(seed)
     vocabulary = ["the", "of", "ab", "x#", "é", "a&b", "条", "long" * 5]
@@ -65,13 +70,56 @@ def test_quality_odd_rows(spark, odd):
     assert quality.quality(empty(spark)).count() == 0
 
 
-def test_fences_follow_their_group(spark):
-    good = [(i, "plain words without any marks in this line of text here", "en", "a") for i in range(40)]
-    marked = [(100 + i, "some# words# with# marks# in# this# line# of# text# here#", "en", "m") for i in range(40)]
-    odd_one = [(999, "some# words# with# marks# in# this# line# of# text# here#", "en", "a")]
-    d = spark.createDataFrame(good + marked + odd_one, "doc_id long, text string, lang string, source string")
-    kept = {r["doc_id"]: r["kept"] for r in quality.quality(d).collect()}
-    assert not kept[999] and sum(kept.values()) == 80
+def plain_fences(values, least=100):
+    """Fences per (lang, source), from lists of (lang, source, measures) in plain Python."""
+    cut = lambda v: v >> max(v.bit_length() - 6, 0) << max(v.bit_length() - 6, 0)
+
+    def of(rows):
+        out = []
+        for m, percent in enumerate((90, 99, 90)):
+            xs = sorted(cut(r[2][m]) for r in rows)
+            at = lambda p: xs[(len(xs) * p + 99) // 100 - 1]  # noqa: B023, E731
+            out.append(at(percent) + 2 * (at(percent) - at(50)))
+        return out
+
+    fence = {}
+    for lang, source in {r[:2] for r in values}:
+        for rows in ([r for r in values if r[:2] == (lang, source)], [r for r in values if r[0] == lang], values):
+            if len(rows) >= least or rows is values:
+                fence[lang, source] = of(rows)
+                break
+    return fence, cut
+
+
+def test_fences_adapt(spark):
+    """Verdicts against plain Python; groups of one language with different fences; small groups take their language's, or all's."""
+    r = random.Random(12)
+    rows = []
+    for i in range(900):
+        lang, source = r.choice([("en", "a"), ("en", "a"), ("en", "m"), ("de", "a"), ("de", "tiny" if r.random() < 0.1 else "a"), (None, None)])
+        ws = [letters(r, r.choice([4, 5, 6] if lang != "de" else [7, 9, 11])) + ("#" if source == "m" and r.random() < 0.5 else "") for _ in range(r.randrange(10, 40))]
+        if r.random() < 0.05:
+            ws = [w + r.choice(["##", "$$$", "verylongtail"]) for w in ws]
+        rows.append((i, "\n".join(" ".join(ws[k : k + 5]) for k in range(0, len(ws), 5)) + ("\nsame\nsame" if r.random() < 0.1 else ""), lang, source))
+    got = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    plain = {i: plain_quality(t) for i, t, *_ in rows}
+    bad = {i: c[0] < 10 or 100 * c[5] > 20 * c[0] for i, c in plain.items()}
+    of = {i: [1000 * c[2] // c[0], 1000 * c[4] // c[3], 100 * c[1] // c[0]] for i, c in plain.items()}
+    fence, cut = plain_fences([(lang, source, of[i]) for i, _, lang, source in rows if not bad[i]])
+    want = {i: not bad[i] and all(cut(v) <= f for v, f in zip(of[i], fence[lang, source])) for i, _, lang, source in rows}
+    assert {x["doc_id"]: x["kept"] for x in got} == want and 0 < sum(want.values()) < 900
+    assert len({tuple(f) for f in fence.values()}) >= 4 and fence["de", "tiny"] != fence["de", "a"] or len(fence) == 5
+    assert {x["level"] for x in got} == {0, 1, 2} or {x["level"] for x in got} == {1, 2}
+
+
+def test_sketches_merge(spark):
+    """The merged sketches of two halves are the sketch of the whole."""
+    d = spark.createDataFrame([(i, t, "en", str(i % 3)) for i, t in enumerate(texts(200, 5))], "doc_id long, text string, lang string, source string")
+    c = quality.with_counts(d).withColumn("base_failed", F.lit(False))
+    both = quality.sketches(c.where("doc_id < 90"), ["lang"]).unionByName(quality.sketches(c.where("doc_id >= 90"), ["lang"]))
+    whole = sorted(map(tuple, quality.sketches(c, ["lang"]).collect()))
+    assert sorted(map(tuple, quality.merge(both, ["lang"]).collect())) == whole
+    assert sorted(map(tuple, quality.merge(quality.sketches(c, ["lang", "source"]), ["lang"]).collect())) == whole
 
 
 def luhn(d):
@@ -182,10 +230,6 @@ def test_language(spark, odd):
     assert langid.identify(empty(spark)).count() == 0 and {x["lang_pred"] for x in langid.classify(odd, {}).collect()} == {"und"}
 
 
-def letters(r, n):
-    return "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
-
-
 def test_every_language_is_learned(spark):
     r = random.Random(4)
     rows = []
