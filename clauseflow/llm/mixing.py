@@ -1,15 +1,16 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Documents are cut into blocks of at most `BLOCK` words. A source that owes `target` words gives whole passes over all of
-its blocks, then a random part of one more pass. A tree over the output shards decides how many blocks of each source a
-shard gets: a node holds the block quotas of a range of shards, and its left half draws its share from them without
-replacement (a multivariate hypergeometric draw), down to single shards, so quotas are exact and shards are random samples
-of the mix. Each source's blocks lie in one random order; consecutive, disjoint runs of it go to the shards, and a shard
-orders its own blocks by a second hash.
-
-The random order never gathers a source in one task. A hash of the document puts it in one of `BINS` bins; words per
-(source, bin) are summed before they are shuffled; offsets of the bins come from those sums, and only the documents of
-one bin are ordered against each other.
+Documents are cut into blocks of at most `BLOCK` words, and each source's blocks lie in one random order. A source that
+owes `target` words owes whole passes over all of its blocks, then, of one more pass, the first blocks in that order that
+make up the rest: its block quota is an exact count. A tree over the output shards splits these quotas: a node holds the
+quotas of a range of shards, and its left half draws its share of them without replacement (a multivariate hypergeometric
+draw), down to single shards, so quotas add up exactly and every shard is a random sample of the mix. A shard then draws as
+many blocks of each source as its table says: the next run of the source's permuted blocks, no block of one pass twice.
+What the mix takes of a document is what the shards drew of its blocks. Inside a shard, blocks are ordered by a second hash.
+
+The random order never gathers a source in one task. A hash puts each block in one of about `blocks / BIN_BLOCKS` bins of
+its source; words and blocks per (source, bin) are summed before they are shuffled; offsets of the bins come from those
+sums, and only the blocks of one bin are ordered against each other.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
-BLOCK, BINS, SEED = 512, 1024, 11
+BLOCK, BIN_BLOCKS, SEED = 512, 50_000, 11
 MAX_PASSES = 3
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -77,79 +78,86 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarra
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad < 10**9:
+    """How many of n things drawn without replacement are good: hypergeometric, whatever the population.
+
+    numpy's own draw ends at 10**9. Beyond it, let every thing be chosen with chance n / (good + bad): given that n are chosen,
+    the number of good ones among them has just this distribution, so pairs of binomial draws are made until one adds up.
+    """
+    if max(good, bad) < 10**9:
         return int(rng.hypergeometric(good, bad, n))
-    mean = n * good / (good + bad)
-    sd = np.sqrt(max(mean * (bad / (good + bad)) * ((good + bad - n) / (good + bad - 1)), 0.0))
-    return int(min(max(round(rng.normal(mean, sd)), n - bad, 0), good, n))
+    if n in (0, good + bad):
+        return good if n else 0
+    while True:
+        x = rng.binomial(good, n / (good + bad), 1 << 16)
+        y = rng.binomial(bad, n / (good + bad), 1 << 16)
+        hits = np.flatnonzero(x + y == n)
+        if len(hits):
+            return int(x[hits[0]])
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, shards: int = 16, seed: int = SEED) -> DataFrame:
-    """The plan of the mix, one row per document: doc_id, source, size, source_size, target, taken, and shards.
+    """The plan of the mix, one row per document: doc_id, source, size, source_size, target, taken, u and shards.
 
-    taken is the number of words that the mix takes of the document, repeats counted; shards lists for each pass the
-    shards that its blocks go to, as (pass, shard, first_block, blocks, words, position). A source's taken words are within
-    one block of its target. Empty documents, null texts and sources without words take nothing. Repeated rows count
-    each. The plan is the same for the same rows, whatever their order.
+    taken is the number of words that the shards draw of the document, repeats counted; shards lists the draws as (pass,
+    shard, block, words, position), u is a hash of the row that `blocks` finds its text by. A source's taken words come up
+    to its target, rounded; the last block of the last pass is cut to fit. Empty documents, null texts and sources without
+    words take nothing. Repeated rows count each. The plan is the same for the same rows, whatever their order. Only
+    doc_id, text and source of docs are read; an empty table gives no rows.
     """
+    spark = docs.sparkSession
     base = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)).alias("u"))
-    base = base.withColumn("bin", F.pmod(F.col("u"), F.lit(BINS)).cast("int")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
-    base = materialize(base, "mix-sizes")
-    sums = base.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum("blocks").alias("blocks"))
-    sums = materialize(sums, "mix-bins")
+    base = materialize(base.withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    per_source = base.groupBy("source").agg(F.sum("size").alias("words"), F.sum(F.ceil(F.col("size") / BLOCK)).alias("blocks"))
     # One row per source on the driver; documents stay where they are.
-    per = {r["source"]: (int(r["words"]), int(r["blocks"])) for r in sums.groupBy("source").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks")).collect()}
-    spark = docs.sparkSession
+    per = {r["source"]: (int(r["words"]), int(r["blocks"])) for r in per_source.collect()}
     names = sorted(per, key=lambda s: (s is None, (s or "").encode("utf-8", "surrogatepass")))
     want = targets({s: per[s][0] for s in names}, weights or default_weights(names))
     passes = {s: int(want[s] // per[s][0]) if per[s][0] else 0 for s in names}
-    part = {s: want[s] - passes[s] * per[s][0] for s in names}
-    quotas = np.array([passes[s] * per[s][1] + (round(per[s][1] * part[s] / per[s][0]) if per[s][0] else 0) for s in names], np.int64)
-    table = np.cumsum(split_quotas(quotas, shards, seed), axis=0) if names else np.zeros((shards, 0), np.int64)
-    rows = [(s, per[s][0], per[s][1], want[s], passes[s], int(round(part[s])), [int(x) for x in table[:, i]]) for i, s in enumerate(names)]
-    plan = spark.createDataFrame(rows, "p_source string, source_size long, source_blocks long, target double, passes int, part_words long, ends array<long>")
-    # Words and blocks of a source in front of each bin: at most BINS rows per source.
+    rows = [(s, per[s][0], per[s][1], want[s], passes[s], round(want[s]) - passes[s] * per[s][0], -(-per[s][1] // BIN_BLOCKS)) for s in names]
+    plan = spark.createDataFrame(rows, "p_source string, source_size long, source_blocks long, target double, passes int, part_words long, bins long")
+    same = lambda of: F.col("source").eqNullSafe(F.col(of))
+    whole = base.where("size > 0").join(plan.select("p_source", "bins"), same("p_source")).drop("p_source")
+    each = whole.select("row", "source", "u", "bins", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK))).alias("block"))
+    each = each.withColumn("v", F.xxhash64("u", "block")).withColumn("words", F.least(F.lit(BLOCK).cast("long"), F.col("size") - F.col("block") * BLOCK))
+    each = materialize(each.select("row", "source", "block", "words", "v", F.pmod("v", "bins").alias("bin")), "mix-blocks")
+    sums = materialize(each.groupBy("source", "bin").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("n")), "mix-bins")
     before = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("source").alias("o_source"), F.col("bin").alias("o_bin"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("w0"), F.coalesce(F.sum("blocks").over(before), F.lit(0)).alias("b0"))
-    offsets = offsets.join(plan, F.col("o_source").eqNullSafe(F.col("p_source"))).drop("p_source")
-    inside = Window.partitionBy("source", "bin").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        base.withColumn("w1", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .withColumn("b1", F.coalesce(F.sum("blocks").over(inside), F.lit(0)))
-        .join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bin") == F.col("o_bin")))
-    )
-    w, b = F.col("w0") + F.col("w1"), F.col("b0") + F.col("b1")
-    extra = F.greatest(F.least(F.col("size"), F.col("part_words") - w), F.lit(0))
-    placed = placed.withColumn("first", b).withColumn("extra", extra).withColumn("taken", (F.col("passes") * F.col("size") + extra).cast("long"))
-
-    def runs(p: Column) -> Column:
-        """The shards of one pass: this document's blocks are a run of the source's order, cut at the shards' ends."""
-        words = F.when(p < F.col("passes"), F.col("size")).otherwise(F.col("extra"))
-        lo = p * F.col("source_blocks") + F.col("first")
-        hi = lo + F.ceil(words / BLOCK)
-        shard_lo = F.sequence(F.lit(0), F.lit(shards - 1))
-
-        def one(k: Column) -> Column:
-            start = F.when(k == 0, F.lit(0)).otherwise(F.element_at("ends", F.greatest(k, F.lit(1))))
-            stop = F.when(k == shards - 1, F.lit(2**62)).otherwise(F.element_at("ends", k + 1))
-            a, z = F.greatest(lo, start), F.least(hi, stop)
-            return F.struct(
-                p.cast("int").alias("pass"), k.alias("shard"), (a - lo).alias("first_block"), (z - a).alias("blocks"),
-                (F.least(words, (z - lo) * BLOCK) - (a - lo) * BLOCK).alias("words"), F.xxhash64("u", p, k).alias("position"),
-            )
-
-        return F.filter(F.transform(shard_lo, one), lambda x: x["blocks"] > 0)
-
-    shard_runs = F.flatten(F.transform(F.sequence(F.lit(0), F.col("passes")), runs))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", shard_runs.alias("shards"))
-
-
-def blocks(docs: DataFrame, plan: DataFrame, shards: int = 16) -> DataFrame:
-    """The mix itself: shard, position, doc_id and text of every drawn run of blocks, one partition per shard, shuffled inside.
-
-    doc_id must be unique in docs; words keep their order and are joined by single spaces.
+    offsets = sums.select(F.col("source").alias("o_source"), F.col("bin").alias("o_bin"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("w0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("b0"))
+    inside = Window.partitionBy("source", "bin").orderBy("v", "block", "row")
+    ordered = each.withColumn("w1", F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")).withColumn("b1", F.row_number().over(inside) - 1)
+    ordered = ordered.join(offsets, same("o_source") & (F.col("bin") == F.col("o_bin")))
+    # rank: the block's place in its source's order. left: words that the last pass still owes when it comes to this block.
+    ordered = ordered.join(plan.select("p_source", "passes", "part_words", "source_blocks"), same("p_source"))
+    ordered = ordered.select("row", "source", "block", "words", "v", "passes", "source_blocks", (F.col("b0") + F.col("b1")).alias("rank"), (F.col("part_words") - F.col("w0") - F.col("w1")).alias("left"))
+    ordered = materialize(ordered, "mix-ranks")
+    extra = {r["source"]: int(r["n"]) for r in ordered.where("left > 0").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    quotas = np.array([passes[s] * per[s][1] + extra.get(s, 0) for s in names], np.int64)
+    ends = np.cumsum(split_quotas(quotas, shards, seed), axis=0) if names else np.zeros((shards, 0), np.int64)
+    draws = spark.createDataFrame([(s, [int(x) for x in ends[:, i]]) for i, s in enumerate(names)], "d_source string, ends array<long>")
+
+    def draw(p: Column) -> Column:
+        """This block's draw in one pass: the shard whose run of the source's order it falls into."""
+        at = p * F.col("source_blocks") + F.col("rank")
+        shard = F.size(F.filter("ends", lambda e: e <= at))
+        words = F.when(p < F.col("passes"), F.col("words")).otherwise(F.least("words", "left"))
+        return F.struct(p.cast("int").alias("pass"), shard.alias("shard"), F.col("block").alias("block"), words.alias("words"), F.xxhash64("v", p).alias("position"))
+
+    last = F.col("passes") - F.when(F.col("left") > 0, 0).otherwise(1)
+    drawn = ordered.where(last >= 0).join(draws, same("d_source")).select("row", F.explode(F.transform(F.sequence(F.lit(0), last), draw)).alias("x"))
+    taken = drawn.where(F.col("x.shard") < shards).groupBy("row").agg(F.sum("x.words").alias("taken"), F.array_sort(F.collect_list("x")).alias("shards"))
+    out = base.join(taken, "row", "left").join(plan, same("p_source"))
+    discard(each, sums)
+    none = F.array().cast("array<struct<pass:int,shard:int,block:bigint,words:bigint,position:bigint>>")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "u", F.coalesce("shards", none).alias("shards"))
+
+
+def blocks(docs: DataFrame, plan: DataFrame, shards: int = 16, seed: int = SEED) -> DataFrame:
+    """The mix itself: shard, position, pass, doc_id and text of every drawn block, one partition per shard, shuffled inside.
+
+    Words keep their order inside a block and are joined by single spaces. docs and seed as given to `mix`.
     """
-    drawn = plan.where(F.col("taken") > 0).select("doc_id", F.explode("shards").alias("x")).select("doc_id", "x.*")
-    parts = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("first_block") * BLOCK + 1).cast("int"), F.col("words").cast("int"))
-    out = drawn.join(docs.select("doc_id", "text"), "doc_id").select("shard", "position", "pass", "doc_id", F.array_join(parts, " ").alias("text"))
+    drawn = plan.where(F.col("taken") > 0).select("u", F.explode("shards").alias("x")).select("u", "x.*")
+    texts = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)).alias("u")).dropDuplicates(["u"])
+    parts = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("block") * BLOCK + 1).cast("int"), F.col("words").cast("int"))
+    out = drawn.join(texts, "u").select("shard", "position", "pass", "doc_id", F.array_join(parts, " ").alias("text"))
     return out.repartition(shards, "shard").sortWithinPartitions("shard", "position", "pass", "doc_id")

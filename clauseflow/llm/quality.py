@@ -28,7 +28,7 @@ MEASURES = {"symbols": 90, "duplicates": 99, "length": 90}
 #: Fence: that percentile plus this many times its distance from the median.
 SPREAD = 2
 #: Documents that a group's own sketch needs to have seen.
-LEAST_GROUP = 100
+LEAST_GROUP = 50
 BASE_MIN_WORDS, BASE_REPEAT_PERCENT, WINDOW = 10, 20, 5
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"

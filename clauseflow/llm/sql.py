@@ -42,7 +42,7 @@ WITH w AS (
   SELECT level, lang AS l, source AS s, any_value(total) AS total, max(high + 2 * (high - mid)) FILTER (m = 1) AS f1, max(high + 2 * (high - mid)) FILTER (m = 2) AS f2, max(high + 2 * (high - mid)) FILTER (m = 3) AS f3
   FROM quant GROUP BY ALL
 ), fences AS (
-  SELECT g.l, g.s, CASE WHEN g.total >= 100 THEN [g.f1, g.f2, g.f3] WHEN u.total >= 100 THEN [u.f1, u.f2, u.f3] ELSE [a.f1, a.f2, a.f3] END AS f
+  SELECT g.l, g.s, CASE WHEN g.total >= 50 THEN [g.f1, g.f2, g.f3] WHEN u.total >= 50 THEN [u.f1, u.f2, u.f3] ELSE [a.f1, a.f2, a.f3] END AS f
   FROM fence g JOIN fence u ON g.level = 2 AND u.level = 1 AND g.l IS NOT DISTINCT FROM u.l JOIN fence a ON a.level = 0
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

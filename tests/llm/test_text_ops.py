@@ -70,7 +70,7 @@ def test_quality_odd_rows(spark, odd):
     assert quality.quality(empty(spark)).count() == 0
 
 
-def plain_fences(values, least=100):
+def plain_fences(values, least=50):
     """Fences per (lang, source), from lists of (lang, source, measures) in plain Python."""
     cut = lambda v: v >> max(v.bit_length() - 6, 0) << max(v.bit_length() - 6, 0)
 
@@ -320,29 +320,51 @@ def test_suffix_array_and_longest_match(spark):
     assert [tuple(x) for x in m["matches"]] == [("7", 25, 2, 1)] and [tuple(x) for x in m["hits"]] == [(2, 27)]
 
 
-def test_mixing(spark, odd):
+@pytest.mark.parametrize("bin_blocks", [50_000, 7])
+def test_mixing(spark, odd, monkeypatch, bin_blocks):
+    monkeypatch.setattr(mixing, "BIN_BLOCKS", bin_blocks)
     r = random.Random(7)
-    rows = [(i, " ".join(["w"] * r.choice([0, 1, 30, 700, 1500])), r.choice(["a", "b", "b", "b", "c", "d", None])) for i in range(300)] + [(300, None, "a"), (301, "", "zzz")]
-    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(r.choice([0, 1, 30, 700, 1500]))), r.choice(["a", "b", "b", "b", "c", "d", None])) for i in range(300)] + [(300, None, "a"), (301, "", "zzz")]
+    rows += [rows[5], rows[5], (5, rows[6][1], "b"), (None, rows[7][1], "b"), (302, "w " * 90_000, "d")]
+    d = spark.createDataFrame([(*x, "clash", 1) for x in rows], "doc_id long, text string, source string, taken string, row int")
     plan = mixing.mix(d, shards=5).collect()
-    assert plan and sorted(map(str, plan)) == sorted(map(str, mixing.mix(d.orderBy("text"), shards=5).collect()))
-    per = {}
+    assert len(plan) == len(rows) and sorted(map(str, plan)) == sorted(map(str, mixing.mix(d.orderBy("text"), shards=5).collect()))
+    per, drawn = {}, {}
     for x in plan:
-        assert x["size"] == len((dict((a, b) for a, b, _ in rows)[x["doc_id"]] or "").split()) and 0 <= x["taken"] <= 3 * x["size"]
-        assert sum(s["words"] for s in x["shards"]) == x["taken"]
-        got = per.setdefault(x["source"], [0, x["target"], x["source_size"]])
+        assert 0 <= x["taken"] <= 3 * x["size"] and sum(s["words"] for s in x["shards"]) == x["taken"]
+        assert all(s["words"] <= min(mixing.BLOCK, x["size"] - s["block"] * mixing.BLOCK) for s in x["shards"])
+        assert len({(s["pass"], s["block"]) for s in x["shards"]}) == len(x["shards"])
+        got = per.setdefault(x["source"], [0, x["target"], x["source_size"], 0])
         got[0] += x["taken"]
+        got[3] += len(x["shards"])
+        for s in x["shards"]:
+            drawn[s["shard"], x["source"]] = drawn.get((s["shard"], x["source"]), 0) + 1
+    sizes = sorted((i, len((t or "").split())) for i, t, _ in rows if i is not None)
+    assert sorted((x["doc_id"], x["size"]) for x in plan if x["doc_id"] is not None) == sizes
     total = sum(v[2] for v in per.values())
-    assert all(abs(taken - target) <= 1 for taken, target, _ in per.values()) and all(t <= 3 * n + 1e-6 for _, t, n in per.values())
+    assert all(abs(taken - target) <= 1 for taken, target, *_ in per.values()) and all(t <= 3 * n + 1e-6 for _, t, n, _ in per.values())
     free = [v for v in per.values() if v[1] < 3 * v[2] - 1e-6]
     assert not free or abs(sum(v[1] for v in per.values()) - total) < 1e-3
-    counts = Counter(s["shard"] for x in plan for s in x["shards"] for _ in range(s["blocks"]))
-    assert max(counts.values()) - min(counts.values()) <= 6
+    # What shards drew is what the tree's table says, source by source and shard by shard.
+    names = sorted(per, key=lambda s: (s is None, s or ""))
+    table = mixing.split_quotas(np.array([per[s][3] for s in names]), 5)
+    assert {(k, s): int(table[k, i]) for k in range(5) for i, s in enumerate(names) if table[k, i]} == drawn
     texts_ = mixing.blocks(d, mixing.mix(d, shards=5), 5)
     assert sum(len(x["text"].split()) for x in texts_.collect()) == sum(x["taken"] for x in plan)
     assert mixing.mix(odd).count() == 10 and mixing.mix(empty(spark)).count() == 0
 
 
+def test_large_hypergeometric_draws():
+    """Beyond numpy's limit, draws have the distribution that numpy's have in a population a thousand times smaller per thing drawn."""
+    rng = np.random.default_rng(1)
+    x = np.array([mixing._draw(rng, 3 * 10**9, 10**9, 400) for _ in range(300)])
+    want = rng.hypergeometric(3 * 10**8, 10**8, 400, 20_000)
+    assert abs(x.mean() - 300) < 3 * want.std() / 300**0.5 and 0.8 < x.std() / want.std() < 1.2
+    assert mixing._draw(rng, 2 * 10**9, 5, 2 * 10**9 + 5) == 2 * 10**9 and mixing._draw(rng, 2 * 10**9, 5, 0) == 0
+    y = mixing._draw(rng, 2 * 10**10, 10**10, 10**10)
+    assert abs(y - 2e10 / 3) < 10 * (1e10 * 2 / 9 * 2 / 3) ** 0.5
+
+
 def test_splitting_tree():
     q = np.array([10, 0, 7, 1000])
     t = mixing.split_quotas(q, 7)
