@@ -11,9 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, LONG_WORD = 1 << 20, 512
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 
 #: Bytes inside words: all but space and \t..\r; or ASCII letters, digits and everything beyond ASCII.
@@ -79,15 +80,19 @@ def words(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.nda
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomials modulo 2**64 collide on some texts of a kilobyte and more that are made for it: long words get another hash."""
     up, down = _pow(_BASE, len(data) + 1)
     total = np.zeros(len(data) + 1, U)
     np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    out = mix((total[ends] - total[starts]) * down[starts])
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
 
 
-def run_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hash of the words first..last-1 for each pair."""
-    up, down = _pow(_STEP, len(h) + 1)
+def run_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray, step: int = _STEP) -> np.ndarray:
+    """Hash of the words first..last-1 for each pair; another step gives an independent one."""
+    up, down = _pow(step, len(h) + 1)
     total = np.zeros(len(h) + 1, U)
     np.cumsum(h * up[: len(h)], out=total[1:])
     return mix((total[last] - total[first]) * down[first] + (last - first).astype(U) * U(0xA24BAED4963EE407))

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,12 +168,31 @@ def plain_repeats(data):
 def test_repeats_against_plain_search(spark, copies, monkeypatch):
     loop = [(1000, "la " * 70, "en", "s"), (1001, "x " + "la " * 25, "en", "s"), (1002, "é " * 19, "en", "s"), (1003, "é " * 19, "en", "s")]
     data = copies + loop
-    for size in (1 << 21, 400):
-        monkeypatch.setattr(repeats, "SHARD_BYTES", size)
-        got = {r["doc_id"]: tuple(r)[1:] for r in repeats.remove_repeats(spark.createDataFrame(data, SCHEMA).repartition(5), digest=True).collect()}
+    for chunk, phrases, documents in ((1 << 21, 50_000, 4096), (400, 5, 3)):  # tiny ones: owners with several shards, shards with several parts
+        monkeypatch.setattr(repeats, "CHUNK", chunk)
+        monkeypatch.setattr(repeats, "SHARD_PHRASES", phrases)
+        monkeypatch.setattr(repeats, "SHARD_DOCS", documents)
+        d = spark.createDataFrame([(*x, 1, 2) for x in data], SCHEMA + ", at int, shard int").repartition(5)
+        got = {r["doc_id"]: tuple(r)[1:] for r in repeats.remove_repeats(d, digest=True).collect()}
         assert got == plain_repeats(data)
 
 
+def test_only_automata_locate(spark, copies, monkeypatch):
+    """Without the automata's answers nothing is removed: no place comes to a document any other way."""
+    monkeypatch.setattr(repeats, "locate", lambda machine, letters, row: np.zeros(0, np.int64))
+    found = list(repeats._windows(repeats.compile_automaton(np.zeros(0, np.uint64)), *(pa.array([x]) for x in (1, 2, "a b " * 20))))
+    assert found == []
+
+
+def test_automaton_against_plain_search():
+    r = np.random.default_rng(3)
+    letters, row = r.integers(0, 3, 4000).astype(np.uint8), np.sort(r.integers(0, 9, 4000))
+    at, code = repeats.phrases(letters, row)
+    chosen = np.unique(code)[::5]
+    got = repeats.locate(repeats.compile_automaton(chosen), letters, row)
+    assert sorted(got) == at[np.isin(code, chosen)].tolist() and len(got) > 50
+
+
 def test_repeats_odd_rows(spark):
     passage = " ".join(f"p{i}" for i in range(22))
     rows = [(None, passage, "a", "b"), (1, f"x {passage} y", None, None), (1, f"x {passage} y", None, None), (2, None, None, None)]
