@@ -50,7 +50,7 @@ def shape(token: str) -> tuple[str, ...]:
     else:
         kind = "other"
     size = next(str(k) for k in (0, 3, 7, 11, 15, 19, 23, 31, 39, 63, 1 << 60) if n <= k)
-    out = [f"kind={kind}", f"size={size}", f"kind,size={kind},{size}", f"entropy={min(int(entropy(core[:200]) * 2), 9)}", f"mix={digits > 2 and letters > 2 and n >= 16}"]
+    out = [f"kind={kind}", f"size={size}", f"kind,size={kind},{size}", f"entropy={min(int(entropy(core) * 2), 9)}", f"mix={digits > 2 and letters > 2 and n >= 16}"]
     out += [f"prefix={any(core.startswith(p) and n > len(p) + 11 for p in PREFIXES)}"]
     if any(k in low for k in KEYWORDS):
         out.append("keyword")
@@ -77,6 +77,10 @@ def role(token: str) -> str:
     return "plain"
 
 
+ROLES = ("op", "begin", "end", "keyword", "pemword", "figures", "plain", "edge")
+KINDS = ("digits", "word", "camel", "hex", "alnum3", "alnum2", "b64", "dashed", "other")
+
+
 def token_features(tokens: list[str], i: int, about: str) -> list[str]:
     at = lambda k: role(tokens[k]) if 0 <= k < len(tokens) else "edge"
     own = shape(tokens[i])
@@ -158,20 +162,85 @@ class Field:
         get = self.index.get
         return np.array([sum((self.emit[k] for f in token_features(tokens, i, about) if (k := get(f)) is not None), np.zeros(3)) for i in span or range(len(tokens))])
 
-    def decode(self, scores: np.ndarray) -> list[int]:
-        """Viterbi; ties go to the lower tag."""
+    def decode(self, scores: np.ndarray, more: bool = False) -> list[int]:
+        """Viterbi; ties go to the lower tag. With more, a token tagged O follows."""
         best, back = scores[0] + self.move[O], []
         for s in scores[1:]:
             step = best[:, None] + self.move
             back.append(step.argmax(0))
             best = step.max(0) + s
-        tag = int(best.argmax())
+        tag = int((best + self.move[:, O] if more else best).argmax())
         out = [tag]
         for b in reversed(back):
             tag = int(b[tag])
             out.append(tag)
         return out[::-1]
 
+    def weight(self, feature: str) -> np.ndarray:
+        k = self.index.get(feature)
+        return np.zeros(3) if k is None else self.emit[k]
+
+    def tables(self) -> Tables:
+        return Tables(self)
+
+    def reach(self) -> tuple[float, int]:
+        """(m, r): every secret of the best tagging lies within r tokens of tokens that are not dull, and a token is dull if B
+        and I score less than O there by more than m, a step inside a secret included.
+
+        All against tagging O throughout, let e be the most that entering a secret can gain, c a step inside it, x leaving it.
+        A secret of dull tokens alone scores at most e + x - c - m, so m makes that negative. Where a secret ends in dull
+        tokens, leaving out n of them gains over n * m, and costs at most another way out; where it begins with some, another
+        way in; where it has some in the middle, one way out, one way in and a step. r bounds n in all three cases.
+        """
+        t = self.move - self.move[O, O]
+        into, out, inside = t[O, 1:], t[1:, O], t[1:, 1:]
+        e, x, c = into.max(), max(out.max(), 0.0), inside.max()
+        m = max(e + x - c, 0.0) + 1.0
+        ends, begins, middle = x - out.min(), e - into.min(), c - out.min() - into.min()
+        return float(m), int(max(ends, begins, middle) / m) + 1
+
+
+class Tables:
+    """A field's weights by what a token is and what stands beside it, so that whole arrays of tokens are scored by lookup."""
+
+    def __init__(self, field: Field):
+        w, self.field = field.weight, field
+        self.before, self.before2, self.after = (np.array([w(f"{k}={r}") for r in ROLES]) for k in ("-1", "-2", "+1"))
+        self.two = np.array([[w(f"-2-1={a},{b}") for b in ROLES] for a in ROLES])
+        self.kind = np.array([[w(f"-1,kind={k}={r}") for r in ROLES] for k in KINDS])
+        self.about = {x: w(x) for x in ("text=none", "text=few", "text=some", "text=many")}
+        self.known: dict[str, tuple] = {}
+
+    def token(self, token: str) -> tuple:
+        """(own scores x 3, scores behind an operator or keyword x 3, kind, role) of a token."""
+        got = self.known.get(token)
+        if got is None:
+            own = shape(token)
+            total = sum((self.field.weight(f) for f in own), self.field.weight("bias"))
+            got = (*total, *self.field.weight(f"after,{own[2]}"), KINDS.index(own[0][5:]), ROLES.index(role(token)))
+            if len(token) <= 200:
+                if len(self.known) >= 1 << 17:
+                    self.known.clear()
+                self.known[token] = got
+        return got
+
+    def scores(self, info: np.ndarray, row: np.ndarray, about: np.ndarray) -> np.ndarray:
+        """Scores of all tokens of some texts: info has a row of `token` for each, row its text, about its text's scores."""
+        kind, own = info[:, 6].astype(int), info[:, 7].astype(int)
+        edge = ROLES.index("edge")
+
+        def beside(k: int) -> np.ndarray:
+            out = np.full(len(own), edge)
+            if k < 0:
+                out[-k:] = np.where(row[-k:] == row[:k], own[:k], edge)
+            else:
+                out[:-k] = np.where(row[:-k] == row[k:], own[k:], edge)
+            return out
+
+        r1, r2, f1 = beside(-1), beside(-2), beside(1)
+        told = np.isin(r1, (ROLES.index("op"), ROLES.index("keyword")))
+        return info[:, :3] + self.before[r1] + self.before2[r2] + self.after[f1] + self.two[r2, r1] + self.kind[kind, r1] + about + np.where(told[:, None], info[:, 3:6], 0.0)
+
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     m = x.max(axis)

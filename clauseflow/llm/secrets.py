@@ -1,14 +1,14 @@
 """Secret scans: three fixed forms, and whatever else a conditional random field takes for a credential.
 
-Positions are code points, ends exclusive. A conditional random field needs no second look at text where it can't leave O:
-words without figures and key marks, shorter than `LONG`, more than `REACH` tokens from any other kind of token. Chains are
-therefore decoded around the other tokens only, with O on both sides.
+Positions are code points, ends exclusive. Every token of every text is scored by lookup; then chains are decoded around
+the tokens where a secret may begin, go on or end, which finds what decoding whole texts would find (`crf.Field.reach`
+says why). The field is learned once, on the driver, and broadcast.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .scratch import plus, tune
-from .wordhash import SPACED, text_chunks, word_bounds, words
+from .wordhash import SPACED, text_chunks, word_bounds, word_hashes, words
 
 # The three forms and their least lengths; letters in front of an assignment count in either case.
 KINDS = ("assign", "access", "hex")
@@ -26,7 +26,6 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 MODEL = "model"
-LONG, REACH = 20, 5
 MASK = "[SECRET]"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -42,16 +41,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def is_odd(token: str) -> bool:
-    """Whether a token alone asks for decoding."""
-    return len(token) >= LONG or "-----" in token or any(c in "0123456789" for c in token)
-
-
-def _windows(n: int, odd: np.ndarray) -> list[range]:
-    """Token ranges within REACH of the odd tokens, merged."""
+def _windows(n: int, lively: np.ndarray, reach: int) -> list[range]:
+    """Token ranges within reach of the lively tokens, merged."""
     out: list[range] = []
-    for i in odd:
-        lo, hi = max(0, int(i) - REACH), min(n, int(i) + REACH + 1)
+    for i in lively:
+        lo, hi = max(0, int(i) - reach), min(n, int(i) + reach + 1)
         if out and lo <= out[-1].stop:
             out[-1] = range(out[-1].start, hi)
         else:
@@ -59,26 +53,18 @@ def _windows(n: int, odd: np.ndarray) -> list[range]:
     return out
 
 
-class _Tokens:
-    """The tokens of one text, decoded when asked for."""
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        self.data, self.starts, self.ends, self.got = data, starts, ends, {}
+def decode(scores: np.ndarray, field: crf.Field) -> list[tuple[int, list[int]]]:
+    """(first token, tags) of stretches of a text; all its other tokens are O."""
+    m, reach = field.reach()
+    inside = (field.move - field.move[crf.O, crf.O])[1:, 1:].max()
+    lively = np.flatnonzero(scores[:, 1:].max(1) - scores[:, 0] + inside > -m)
+    return [(span.start, field.decode(scores[span.start : span.stop], span.stop < len(scores))) for span in _windows(len(scores), lively, reach)]
 
-    def __len__(self) -> int:
-        return len(self.starts)
 
-    def __getitem__(self, i: int) -> str:
-        if i not in self.got:
-            self.got[i] = self.data[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "replace")
-        return self.got[i]
-
-
-def model_spans(tokens: _Tokens, at: np.ndarray, odd: np.ndarray, n_figures: int, field: crf.Field) -> list[tuple[int, int]]:
+def model_spans(token: Callable[[int], str], at: np.ndarray, scores: np.ndarray, field: crf.Field) -> list[tuple[int, int]]:
     """Spans of the decoded secrets, without the quotes and marks around them; at: code point of each token's start."""
-    about, out = crf.about_text(len(tokens), n_figures), []
-    for span in _windows(len(tokens), odd):
-        tags = field.decode(field.scores(tokens, about, span))
+    out = []
+    for start, tags in decode(scores, field):
         i = 0
         while i < len(tags):
             if tags[i] == crf.O:
@@ -87,45 +73,60 @@ def model_spans(tokens: _Tokens, at: np.ndarray, odd: np.ndarray, n_figures: int
             j = i + 1
             while j < len(tags) and tags[j] == crf.I:
                 j += 1
-            first, last = tokens[span[i]], tokens[span[j - 1]]
+            first, last = token(start + i), token(start + j - 1)
             skip = len(first) - len(first.lstrip(crf._WRAP))
             inner = first.rstrip(crf._WRAP)
             if "=" in inner[:-1].rstrip("="):
                 skip = inner[:-1].rstrip("=").rindex("=") + 1
                 skip += len(first[skip:]) - len(first[skip:].lstrip(crf._WRAP))
-            lo, hi = int(at[span[i]]) + skip, int(at[span[j - 1]]) + len(last.rstrip(crf._WRAP))
+            lo, hi = int(at[start + i]) + skip, int(at[start + j - 1]) + len(last.rstrip(crf._WRAP))
             if hi > lo:
                 out.append((lo, hi))
             i = j
     return out
 
 
-def batch_spans(texts: pa.Array, field: crf.Field) -> list[list[dict]]:
+def _scored(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, bounds: np.ndarray, tables: crf.Tables) -> np.ndarray:
+    """Scores of all tokens of a chunk; every distinct token is looked at once."""
+    _, example, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    info = np.array([tables.token(data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")) for i in example.tolist()])[back]
+    digit = np.concatenate(([0], np.cumsum((data >= 48) & (data < 58))))
+    some = np.concatenate(([0], np.cumsum(digit[ends] > digit[starts])))
+    about = np.array([tables.about[crf.about_text(int(z - a), int(some[z] - some[a]))] for a, z in zip(bounds[:-1], bounds[1:])])
+    return tables.scores(info, row, about[row])
+
+
+def batch_spans(texts: pa.Array, tables: crf.Tables) -> list[list[dict]]:
     out: list[list[dict]] = []
     names = (*KINDS, MODEL)
     for lo, hi, data, off in text_chunks(texts):
         starts, ends, row = words(data, off, SPACED)
         bounds = word_bounds(row, hi - lo)
         lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        digit = np.concatenate(([0], np.cumsum((data >= 48) & (data < 58))))
-        figures = digit[ends] > digit[starts]
-        dashes = np.concatenate(([0], np.cumsum(data == 45)))
-        mark = np.concatenate(([0], np.cumsum(dashes[5:] - dashes[:-5] == 5))) if len(data) >= 5 else np.zeros(len(data) + 1, np.int64)
-        last = np.minimum(np.maximum(ends - 4, starts), len(mark) - 1)  # where a mark of five dashes could begin, and no further
-        odd = figures | (lead[ends] - lead[starts] >= LONG) | (mark[last] > mark[np.minimum(starts, len(mark) - 1)])
-        some = np.concatenate(([0], np.cumsum(figures)))
+        scores = _scored(data, starts, ends, row, bounds, tables) if len(starts) else np.zeros((0, 3))
         for k in range(hi - lo):
             a, z = bounds[k], bounds[k + 1]
             spans = base_spans(data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace"))
-            mine = np.flatnonzero(odd[a:z])
-            if len(mine):
-                tokens = _Tokens(data, starts[a:z], ends[a:z])
-                found = model_spans(tokens, lead[starts[a:z]] - lead[off[k]], mine, int(some[z] - some[a]), field)
-                spans = sorted(spans + [(s, 3, e) for s, e in found if not any(s < y and x < e for x, _, y in spans)])
+            token = lambda i: data[starts[a + i] : ends[a + i]].tobytes().decode("utf-8", "replace")  # noqa: B023, E731
+            found = model_spans(token, lead[starts[a:z]] - lead[off[k]], scores[a:z], tables.field) if z > a else []
+            spans = sorted(spans + _apart(found, spans))
             out.append([{"kind": names[r], "start": s, "end": e} for s, r, e in spans])
     return out
 
 
+def _apart(found: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans found, by start, that overlap no base span (by start): among those that begin before a span ends, the one
+    that ends last must end before it begins."""
+    out, i, reach = [], 0, 0
+    for s, e in found:
+        while i < len(base) and base[i][0] < e:
+            reach = max(reach, base[i][2])
+            i += 1
+        if reach <= s:
+            out.append((s, 3, e))
+    return out
+
+
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of docs with `secrets` (replacing a column of that name), the spans by start, then kind.
 
@@ -137,11 +138,12 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = crf.trained()
+        tables = learned.value.tables()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(batch_spans(b.column(at), field), kind)], names=[*keep, "secrets"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(batch_spans(b.column(at), tables), kind)], names=[*keep, "secrets"])
 
     tune(docs.sparkSession)
+    learned = docs.sparkSession.sparkContext.broadcast(crf.trained())  # some thousand weights
     only = docs.select(*(F.col(f"`{c}`") for c in keep))
     return only.mapInArrow(run, plus(only.schema, f"secrets {SPANS}"))
 
@@ -151,7 +153,10 @@ def listed(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the fixed forms, the hash of their list, and the list of all spans."""
+    """doc_id, counts of the fixed forms, the hash of their list, and the list of all spans, one row per row of docs.
+
+    Null and empty texts have none, repeated rows count each; other columns of docs are left out.
+    """
     spans = F.col("secrets")
     base = F.filter(spans, lambda s: s["kind"] != MODEL)
 

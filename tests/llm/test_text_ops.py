@@ -179,17 +179,33 @@ def test_random_field():
     assert hits[1] + hits[2] <= 0.02 * hits[0]
 
 
-def test_decoding_around_odd_tokens_is_decoding_all():
-    field = crf.trained()
-    for k in range(20):
-        tokens = [t for s, _ in crf.examples(12, 1000 + k) for t in s]
+def test_scores_by_lookup_and_decoding_in_parts():
+    """Scores as from features one by one; decoding around lively tokens is decoding all, on made-up text and on any scores."""
+    field, rng = crf.trained(), np.random.default_rng(5)
+    tables = field.tables()
+    for k in range(12):
+        tokens = [t for s, _ in crf.examples(12, 1000 + k) for t in s] + ["plain"] * 60 + ["x" * 25, "password", "=", "camelCase", "-----BEGIN", "a.b", "Ab/cd+ef=="] * 2
         about = crf.about_text(len(tokens), sum(any(c in "0123456789" for c in t) for t in tokens))
-        whole = field.decode(field.scores(tokens, about))
-        odd = np.array([i for i, t in enumerate(tokens) if secrets.is_odd(t)])
-        parts = [crf.O] * len(tokens)
-        for span in secrets._windows(len(tokens), odd):
-            parts[span.start : span.stop] = field.decode(field.scores(tokens, about, span))
-        assert parts == whole
+        text = " ".join(tokens)
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts, ends, row = W.words(data, np.array([0, len(data)]), W.SPACED)
+        got = secrets._scored(data, starts, ends, row, W.word_bounds(row, 1), tables)
+        assert np.allclose(got, field.scores(tokens, about))
+        for scores in (got, got + rng.normal(0, 2, got.shape), rng.normal(0, 6, got.shape) + [4, 0, 0]):
+            parts = [crf.O] * len(tokens)
+            for start, tags in secrets.decode(scores, field):
+                parts[start : start + len(tags)] = tags
+            assert parts == field.decode(scores)
+    assert field.reach()[1] < 100
+
+
+def test_model_spans_apart_from_base_spans():
+    r = random.Random(3)
+    for _ in range(300):
+        base = sorted((a, r.randrange(3), a + r.randrange(1, 30)) for a in (r.randrange(100) for _ in range(r.randrange(5))))
+        cuts = sorted(r.sample(range(120), 8))
+        found = list(zip(cuts[::2], cuts[1::2]))
+        assert secrets._apart(found, base) == [(s, 3, e) for s, e in found if not any(s < y and x < e for x, _, y in base)]
 
 
 def test_viterbi_against_all_paths():
