@@ -18,6 +18,8 @@ SEED, SENTENCES, EPOCHS, RATE, DECAY = 3, 900, 6, 0.15, 1e-4
 # Words that announce a secret, and the public prefixes of common credentials.
 KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "private_key", "access_key", "auth", "bearer")
 PREFIXES = ("ghp_", "gho_", "github_pat_", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "eyJ", "AIza", "glpat-", "npm_", "hf_")
+SIZES = (0, 3, 7, 11, 15, 19, 23, 31, 39, 63, 1 << 60)
+PEM_WORDS = ("private", "rsa", "openssh", "ec")
 _WRAP = "\"'`,.;:()[]{}<>!*#$%&|"
 _HEX, _B64, _ALNUM = re.compile(r"[0-9a-fA-F]+"), re.compile(r"[A-Za-z0-9+/_=-]+"), re.compile(r"[A-Za-z0-9]+")
 
@@ -49,7 +51,7 @@ def shape(token: str) -> tuple[str, ...]:
         kind = "b64" if digits and letters else "dashed"
     else:
         kind = "other"
-    size = next(str(k) for k in (0, 3, 7, 11, 15, 19, 23, 31, 39, 63, 1 << 60) if n <= k)
+    size = next(str(k) for k in SIZES if n <= k)
     out = [f"kind={kind}", f"size={size}", f"kind,size={kind},{size}", f"entropy={min(int(entropy(core) * 2), 9)}", f"mix={digits > 2 and letters > 2 and n >= 16}"]
     out += [f"prefix={any(core.startswith(p) and n > len(p) + 11 for p in PREFIXES)}"]
     if any(k in low for k in KEYWORDS):
@@ -70,7 +72,7 @@ def role(token: str) -> str:
         return "end"
     if any(k in low for k in KEYWORDS):
         return "keyword"
-    if "key-----" in low or low in ("private", "rsa", "openssh", "ec"):
+    if "key-----" in low or low in PEM_WORDS:
         return "pemword"
     if any(c in "0123456789" for c in token):
         return "figures"
@@ -201,7 +203,10 @@ class Field:
 
 
 class Tables:
-    """A field's weights by what a token is and what stands beside it, so that whole arrays of tokens are scored by lookup."""
+    """A field's weights by what a token is and what stands beside it, so that whole arrays of tokens are scored by lookup.
+
+    Plain words needn't be looked at one by one: `plain` has, for each size, scores against O that no word can exceed.
+    """
 
     def __init__(self, field: Field):
         w, self.field = field.weight, field
@@ -210,6 +215,17 @@ class Tables:
         self.kind = np.array([[w(f"-1,kind={k}={r}") for r in ROLES] for k in KINDS])
         self.about = {x: w(x) for x in ("text=none", "text=few", "text=some", "text=many")}
         self.known: dict[str, tuple] = {}
+        self.plain = np.array([[self._most(kinds, size) for size in SIZES] for kinds in (("word",), ("word", "camel", "other"))])
+
+    def _most(self, kinds: tuple[str, ...], size: int) -> list[float]:
+        """A row as from `token`, for a word of one of these kinds: the most that B and I can score above O, whatever its entropy."""
+        w = self.field.weight
+        rise = lambda v: v - v[O]
+        own = [rise(w("bias") + w(f"kind={k}") + w(f"size={size}") + w(f"kind,size={k},{size}") + w("mix=False") + w("prefix=False") + w(f"entropy={e}")) for k in kinds for e in range(10)]
+        behind = [rise(w(f"after,kind,size={k},{size}")) for k in kinds]
+        near = [rise(w(f"-1,kind={k}={r}")) for k in kinds for r in ROLES] if len(kinds) > 1 else [np.zeros(3)]
+        # What the kind makes of its neighbours is looked up for words; of other kinds, the most that it can be is added here.
+        return [*(np.max(own, 0) + np.max(near, 0)), *np.max(behind, 0), KINDS.index("word") if len(kinds) == 1 else -1, ROLES.index("plain")]
 
     def token(self, token: str) -> tuple:
         """(own scores x 3, scores behind an operator or keyword x 3, kind, role) of a token."""
@@ -239,7 +255,8 @@ class Tables:
 
         r1, r2, f1 = beside(-1), beside(-2), beside(1)
         told = np.isin(r1, (ROLES.index("op"), ROLES.index("keyword")))
-        return info[:, :3] + self.before[r1] + self.before2[r2] + self.after[f1] + self.two[r2, r1] + self.kind[kind, r1] + about + np.where(told[:, None], info[:, 3:6], 0.0)
+        beside_kind = np.where(kind[:, None] >= 0, self.kind[kind, r1], 0.0)
+        return info[:, :3] + self.before[r1] + self.before2[r2] + self.after[f1] + self.two[r2, r1] + beside_kind + about + np.where(told[:, None], info[:, 3:6], 0.0)
 
 
 def _logsum(x: np.ndarray, axis: int) -> np.ndarray:

@@ -1,14 +1,15 @@
 """Secret scans: three fixed forms, and whatever else a conditional random field takes for a credential.
 
-Positions are code points, ends exclusive. Every token of every text is scored by lookup; then chains are decoded around
-the tokens where a secret may begin, go on or end, which finds what decoding whole texts would find (`crf.Field.reach`
-says why). The field is learned once, on the driver, and broadcast.
+Positions are code points, ends exclusive. Every token of every text is scored by lookup, plain words by a bound that holds
+for all words of their size; then chains are scored in full and decoded around the tokens where a secret may begin, go on
+or end, which finds what decoding whole texts would find (`crf.Field.reach` says why). The field is learned once, on the
+driver, and broadcast.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .scratch import plus, tune
-from .wordhash import SPACED, text_chunks, word_bounds, word_hashes, words
+from .wordhash import LOWER, SPACED, text_chunks, word_bounds, word_hashes, words
 
 # The three forms and their least lengths; letters in front of an assignment count in either case.
 KINDS = ("assign", "access", "hex")
@@ -53,18 +54,32 @@ def _windows(n: int, lively: np.ndarray, reach: int) -> list[range]:
     return out
 
 
-def decode(scores: np.ndarray, field: crf.Field) -> list[tuple[int, list[int]]]:
-    """(first token, tags) of stretches of a text; all its other tokens are O."""
+class _Tokens:
+    """The tokens of one text, decoded when asked for."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        self.data, self.starts, self.ends = data, starts, ends
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, i: int) -> str:
+        return self.data[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "replace")
+
+
+def decode(tokens: Sequence[str], bounds: np.ndarray, about: str, field: crf.Field) -> list[tuple[int, list[int]]]:
+    """(first token, tags) of stretches of a text; all its other tokens are O. bounds: scores of which B's and I's may be too
+    high against O's."""
     m, reach = field.reach()
     inside = (field.move - field.move[crf.O, crf.O])[1:, 1:].max()
-    lively = np.flatnonzero(scores[:, 1:].max(1) - scores[:, 0] + inside > -m)
-    return [(span.start, field.decode(scores[span.start : span.stop], span.stop < len(scores))) for span in _windows(len(scores), lively, reach)]
+    lively = np.flatnonzero(bounds[:, 1:].max(1) - bounds[:, 0] + inside > -m)
+    return [(span.start, field.decode(field.scores(tokens, about, span), span.stop < len(tokens))) for span in _windows(len(tokens), lively, reach)]
 
 
-def model_spans(token: Callable[[int], str], at: np.ndarray, scores: np.ndarray, field: crf.Field) -> list[tuple[int, int]]:
+def model_spans(tokens: Sequence[str], at: np.ndarray, bounds: np.ndarray, about: str, field: crf.Field) -> list[tuple[int, int]]:
     """Spans of the decoded secrets, without the quotes and marks around them; at: code point of each token's start."""
     out = []
-    for start, tags in decode(scores, field):
+    for start, tags in decode(tokens, bounds, about, field):
         i = 0
         while i < len(tags):
             if tags[i] == crf.O:
@@ -73,7 +88,7 @@ def model_spans(token: Callable[[int], str], at: np.ndarray, scores: np.ndarray,
             j = i + 1
             while j < len(tags) and tags[j] == crf.I:
                 j += 1
-            first, last = token(start + i), token(start + j - 1)
+            first, last = tokens[start + i], tokens[start + j - 1]
             skip = len(first) - len(first.lstrip(crf._WRAP))
             inner = first.rstrip(crf._WRAP)
             if "=" in inner[:-1].rstrip("="):
@@ -86,14 +101,37 @@ def model_spans(token: Callable[[int], str], at: np.ndarray, scores: np.ndarray,
     return out
 
 
-def _scored(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, bounds: np.ndarray, tables: crf.Tables) -> np.ndarray:
-    """Scores of all tokens of a chunk; every distinct token is looked at once."""
-    _, example, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    info = np.array([tables.token(data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")) for i in example.tolist()])[back]
-    digit = np.concatenate(([0], np.cumsum((data >= 48) & (data < 58))))
-    some = np.concatenate(([0], np.cumsum(digit[ends] > digit[starts])))
-    about = np.array([tables.about[crf.about_text(int(z - a), int(some[z] - some[a]))] for a, z in zip(bounds[:-1], bounds[1:])])
-    return tables.scores(info, row, about[row])
+# Byte classes: ASCII letters of both cases, bytes beyond ASCII, and marks that may end a plain word.
+_LOW, _UP, _FAR, _MARK = (np.zeros(256, bool) for _ in range(4))
+_LOW[97:123] = _UP[65:91] = _FAR[128:] = True
+_MARK[list(b".,;!")] = True
+_TELLING = re.compile(b"|".join(k.encode() for k in crf.KEYWORDS))
+
+
+def _bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, tables: crf.Tables, about: list[str]) -> np.ndarray:
+    """Scores of all tokens of a chunk. Plain words, letters with at most some marks behind them and no keywords, get the bounds
+    of their size; every other distinct token is looked at once."""
+    count = lambda flag: (c := np.concatenate(([0], np.cumsum(flag))))[ends] - c[starts]
+    low, up, far, mark = (count(x[data]) for x in (_LOW, _UP, _FAR, _MARK))
+    letter = _LOW[data] | _UP[data] | _FAR[data]
+    inner = np.zeros(len(data), bool)
+    inner[:-1] = _MARK[data[:-1]] & letter[1:]
+    case = (up == 0) | ((up == 1) & _UP[data[starts]]) | ((up == low + up) & (far == 0))
+    plain = (low + up + far + mark == ends - starts) & (low + up + far > 0) & (count(inner) == 0) & (case | (far > 0))
+    small = LOWER[data]
+    for found in _TELLING.finditer(small.tobytes()):
+        plain[np.searchsorted(starts, found.start(), side="right") - 1] = False
+    pem = np.concatenate([word_hashes(w, np.array([0]), np.array([len(w)])) for w in (np.frombuffer(x.encode(), np.uint8) for x in crf.PEM_WORDS)])
+    hashes = word_hashes(small, starts, ends)
+    plain &= ~np.isin(hashes, pem)
+    points = count(_LOW[data] | _UP[data] | (data >= 0xC0))
+    info = tables.plain[(far > 0).astype(int), np.searchsorted(crf.SIZES[:-1], points)]
+    rest = np.flatnonzero(~plain)
+    if len(rest):
+        _, example, back = np.unique(word_hashes(data, starts[rest], ends[rest]), return_index=True, return_inverse=True)
+        tokens = _Tokens(data, starts[rest], ends[rest])
+        info[rest] = np.array([tables.token(tokens[i]) for i in example.tolist()])[back]
+    return tables.scores(info, row, np.array([tables.about[a] for a in about])[row])
 
 
 def batch_spans(texts: pa.Array, tables: crf.Tables) -> list[list[dict]]:
@@ -103,12 +141,14 @@ def batch_spans(texts: pa.Array, tables: crf.Tables) -> list[list[dict]]:
         starts, ends, row = words(data, off, SPACED)
         bounds = word_bounds(row, hi - lo)
         lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        scores = _scored(data, starts, ends, row, bounds, tables) if len(starts) else np.zeros((0, 3))
+        digit = np.concatenate(([0], np.cumsum((data >= 48) & (data < 58))))
+        figures = np.concatenate(([0], np.cumsum(digit[ends] > digit[starts])))
+        about = [crf.about_text(int(z - a), int(figures[z] - figures[a])) for a, z in zip(bounds[:-1], bounds[1:])]
+        scores = _bounds(data, starts, ends, row, tables, about) if len(starts) else np.zeros((0, 3))
         for k in range(hi - lo):
             a, z = bounds[k], bounds[k + 1]
             spans = base_spans(data[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace"))
-            token = lambda i: data[starts[a + i] : ends[a + i]].tobytes().decode("utf-8", "replace")  # noqa: B023, E731
-            found = model_spans(token, lead[starts[a:z]] - lead[off[k]], scores[a:z], tables.field) if z > a else []
+            found = model_spans(_Tokens(data, starts[a:z], ends[a:z]), lead[starts[a:z]] - lead[off[k]], scores[a:z], about[k], tables.field) if z > a else []
             spans = sorted(spans + _apart(found, spans))
             out.append([{"kind": names[r], "start": s, "end": e} for s, r, e in spans])
     return out

@@ -179,26 +179,44 @@ def test_random_field():
     assert hits[1] + hits[2] <= 0.02 * hits[0]
 
 
-def test_scores_by_lookup_and_decoding_in_parts():
-    """Scores as from features one by one; decoding around lively tokens is decoding all, on made-up text and on any scores."""
-    field, rng = crf.trained(), np.random.default_rng(5)
-    tables = field.tables()
+def test_decoding_in_parts_is_decoding_all():
+    """Bounds are exact but for plain words, and never too low; decoding around lively tokens is decoding whole texts."""
+    field = crf.trained()
+    tables, r = field.tables(), random.Random(6)
+    some = ["plain", "x" * 25, "password", "=", "camelCase", "-----BEGIN", "a.b", "Ab/cd+ef==", "naïve", "ÜBER", "条款", "Word.", "ec", "RSA", "author", "eyJabcdefghijklmnop", "AIzaabcdefghijklmn", "abcdefghijklmnopqrstuvwxyzabcdefghij", "ABCDEFGHIJKLMNOPQRSTUVWXYZ!!", "é", "well-known", "l'eau", "...", "1", "zzzzzzzzzzzzzzzz", "token:", "auth"]
     for k in range(12):
-        tokens = [t for s, _ in crf.examples(12, 1000 + k) for t in s] + ["plain"] * 60 + ["x" * 25, "password", "=", "camelCase", "-----BEGIN", "a.b", "Ab/cd+ef=="] * 2
+        tokens = [t for s, _ in crf.examples(12, 1000 + k) for t in s] + [r.choice(some) for _ in range(150)] + ["plain"] * 60 + [some[k % len(some)]]
         about = crf.about_text(len(tokens), sum(any(c in "0123456789" for c in t) for t in tokens))
-        text = " ".join(tokens)
-        data = np.frombuffer(text.encode(), np.uint8)
+        data = np.frombuffer(" ".join(tokens).encode(), np.uint8)
         starts, ends, row = W.words(data, np.array([0, len(data)]), W.SPACED)
-        got = secrets._scored(data, starts, ends, row, W.word_bounds(row, 1), tables)
-        assert np.allclose(got, field.scores(tokens, about))
-        for scores in (got, got + rng.normal(0, 2, got.shape), rng.normal(0, 6, got.shape) + [4, 0, 0]):
-            parts = [crf.O] * len(tokens)
-            for start, tags in secrets.decode(scores, field):
-                parts[start : start + len(tags)] = tags
-            assert parts == field.decode(scores)
+        bounds, exact = secrets._bounds(data, starts, ends, row, tables, [about]), field.scores(tokens, about)
+        rise = lambda x: x[:, 1:] - x[:, :1]
+        assert (rise(bounds) >= rise(exact) - 1e-9).all() and np.isclose(rise(bounds), rise(exact)).all(1).mean() > 0.1
+        parts = [crf.O] * len(tokens)
+        for start, tags in secrets.decode(tokens, bounds, about, field):
+            parts[start : start + len(tags)] = tags
+        assert parts == field.decode(exact)
     assert field.reach()[1] < 100
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_reach_holds_for_any_scores(seed):
+    """Stretches around lively tokens decode as whole chains do, whatever the scores are."""
+    field, rng = crf.trained(), np.random.default_rng(seed)
+
+    class Given(crf.Field):
+        def scores(self, tokens, about, span=None):
+            return tokens[span.start : span.stop]
+
+    given = Given(field.index, field.emit, field.move)
+    for _ in range(40):
+        s = rng.normal(0, rng.choice([1, 3, 8]), (200, 3)) + [rng.choice([2, 5, 9]), 0, 0]
+        parts = [crf.O] * 200
+        for start, tags in secrets.decode(s, s, "", given):
+            parts[start : start + len(tags)] = tags
+        assert parts == field.decode(s)
+
+
 def test_model_spans_apart_from_base_spans():
     r = random.Random(3)
     for _ in range(300):
