@@ -3,7 +3,8 @@
 Everything is made of DataFrame functions. A pattern's matches come from regexp_extract_all and the text between them from
 split; adding up both lengths gives positions (code points, ends exclusive). Patterns start with a guard,
 `(?:\\G|(?<!x))`: a match starts where a run of its characters does or where the last match ended, so that long runs are
-read once and not once for each start. Groups that repeat without bound do so possessively, which Java's regular
+read once and not once for each start. Sums over a text's matches run in blocks, as an array that grows by one element is
+copied each time: time is linear in the text, and in its matches up to BLOCK times their number. Groups that repeat without bound do so possessively, which Java's regular
 expressions do in a loop; otherwise they recurse, and a text with very many repeats would overflow the stack.
 """
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 KEEP_FROM = 0.5
 CONTEXT_CHARS = 40
+#: Elements that a running sum takes at a time.
+BLOCK = 128
 
 
 @dataclass(frozen=True)
@@ -88,41 +91,85 @@ KINDS = (
 BASE = tuple(k.name for k in KINDS if k.fixed)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], out_type: str) -> Column:
+    """The array that step makes of items, one after the other: step(state, item) gives the next state and an element."""
+    none, blocks = F.array().cast(f"array<{out_type}>"), F.array().cast(f"array<array<{out_type}>>")
+
+    def one(a: Column, item: Column) -> Column:
+        after, out = step(a["state"], item)
+        return F.struct(after.alias("state"), F.concat(a["out"], F.array(out)).alias("out"))
+
+    def block(a: Column, part: Column) -> Column:
+        return _let(F.aggregate(part, F.struct(a["state"].alias("state"), none.alias("out")), one), lambda r: F.struct(r["state"].alias("state"), F.concat(a["out"], F.array(r["out"])).alias("out")))
+
+    def all_of(xs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / BLOCK).cast("int")), lambda i: F.slice(xs, i * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(xs) > 0, F.flatten(F.aggregate(parts, F.struct(state.alias("state"), blocks.alias("out")), block)["out"])).otherwise(none)
+
+    return _let(items, all_of)
+
+
+_SPAN = "struct<start:int,rank:int,end:int,kind:string,score:double>"
+
+
 def _spans(text: Column, rank: int, kind: Kind) -> Column:
     """The kind's confirmed spans: array of (start, rank, end, kind, score)."""
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     gaps = F.split(text, kind.pattern, -1)
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    step = lambda a, p: F.struct(
-        F.concat(a["out"], F.array(F.struct((a["at"] + F.length(p["gap"])).alias("start"), (a["at"] + F.length(p["gap"]) + F.length(p["m"])).alias("end"), p["m"].alias("m")))).alias("out"),
-        (a["at"] + F.length(p["gap"]) + F.length(p["m"])).alias("at"),
-    )
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
-    placed = F.aggregate(pairs, F.struct(none.alias("out"), F.lit(0).alias("at")), step)["out"]
+    pairs = _let(found, lambda ms: F.zip_with(ms, F.slice(gaps, F.lit(1), F.size(ms)), lambda m, g: F.struct(m.alias("m"), g.alias("gap"))))
+    last = lambda *parts: F.right(F.concat(*parts), F.lit(CONTEXT_CHARS))
+
+    def place(state: Column, p: Column) -> tuple[Column, Column]:
+        start, near = state["at"] + F.length(p["gap"]), last(state["near"], last(p["gap"]))
+        end = start + F.length(p["m"])
+        return F.struct(end.alias("at"), last(near, last(p["m"])).alias("near")), F.struct(start.alias("start"), end.alias("end"), p["m"].alias("m"), near.alias("near"))
+
+    placed = running(pairs, F.struct(F.lit(0).alias("at"), F.lit("").alias("near")), place, "struct<start:int,end:int,m:string,near:string>")
     good = F.filter(placed, lambda s: kind.valid(s["m"])) if kind.valid else placed
 
     def scored(s: Column) -> Column:
-        near = F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT_CHARS))))
-        score = F.lit(kind.score) + F.when(near.rlike(rf"\b(?:{kind.words})"), F.lit(kind.lift)).otherwise(F.lit(0.0))
+        score = F.lit(kind.score) + F.when(F.lower(s["near"]).rlike(rf"\b(?:{kind.words})"), F.lit(kind.lift)).otherwise(F.lit(0.0))
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
 
     out = F.transform(good, scored)
     if not kind.fixed:
         out = F.filter(out, lambda s: s["score"] >= KEEP_FROM)
     may = (F.contains(text, F.lit(kind.needs)) if kind.needs else F.lit(True)) & text.rlike(kind.pattern)
-    return F.when(may, out).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>"))
+    return F.when(may, out).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+
+def _apart(spans: Column) -> Column:
+    """Spans (sorted) without added ones that overlap a base one: a base one that begins no later and ends behind their start,
+    seen on the way forth, or the next one to begin, seen on the way back."""
+    flagged = f"struct<s:{_SPAN},over:boolean>"
+    base = lambda s: s["rank"] < len(BASE)
+
+    def forth(reach: Column, s: Column) -> tuple[Column, Column]:
+        return F.when(base(s), F.greatest(reach, s["end"])).otherwise(reach), F.struct(s.alias("s"), (~base(s) & (reach > s["start"])).alias("over"))
+
+    def back(begins: Column, x: Column) -> tuple[Column, Column]:
+        return F.when(base(x["s"]), x["s"]["start"]).otherwise(begins), F.struct(x["s"].alias("s"), (x["over"] | (~base(x["s"]) & (begins < x["s"]["end"]))).alias("over"))
+
+    there = running(spans, F.lit(0), forth, flagged)
+    again = running(F.reverse(there), F.lit(2**31 - 1), back, flagged)
+    return F.transform(F.filter(F.reverse(again), lambda x: ~x["over"]), lambda x: x["s"])
 
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `pii` (replacing a column of that name): (start, rank, end, kind, score) by start, then kind.
 
-    The fixed kinds may overlap each other; the others give way to them. Null and empty texts have none.
+    The fixed kinds may overlap each other; the others give way to them. Null and empty texts have none; repeated rows count
+    each, an empty table gives no rows.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.withColumn("pii", F.concat(*(_spans(t, i, k) for i, k in enumerate(KINDS) if k.fixed)))
-    more = F.concat(*(_spans(t, i, k) for i, k in enumerate(KINDS) if not k.fixed))
-    apart = F.filter(more, lambda s: ~F.exists(F.col("pii"), lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    return base.withColumn("pii", F.array_sort(F.concat(F.col("pii"), apart)))
+    found = F.array_sort(F.concat(*(_spans(t, i, k) for i, k in enumerate(KINDS))))
+    clean = lambda a: F.when(F.exists(a, lambda s: s["rank"] >= len(BASE)), _apart(a)).otherwise(a)
+    return docs.withColumn("pii", _let(found, clean))
 
 
 def listed(spans: Column) -> Column:
@@ -130,7 +177,10 @@ def listed(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, the hash of their list, and the list of all spans."""
+    """doc_id, counts of the base kinds, the hash of their list, and the list of all spans, one row per row of docs.
+
+    Null and empty texts have none, repeated rows count each; other columns of docs are left out.
+    """
     found = find_pii(docs.select("doc_id", "text")).select("doc_id", "pii")
     spans = F.col("pii")
 

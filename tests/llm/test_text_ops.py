@@ -152,6 +152,26 @@ def test_pii_added_kinds_and_context(spark, odd):
     assert set(pii.find_pii(odd).columns) == {*odd.columns, "pii"}
 
 
+def test_pii_many_spans_and_overlaps(spark):
+    """Twenty thousand spans in one text; added spans give way to base spans, in blocks and across them."""
+    mails = " ".join(f"a{i}@b{i}.example.org" for i in range(20_000))
+    r = random.Random(14)
+    bits = ["ssn 123-45-6789 ", "call 415 555 0100 ", "+1 415 555 0100 ", "1.2.3.4 ", "call +415 555 0100-22 ", "x ", "IBAN DE89 3704 0044 0532 0130 00 ", "é条 "]
+    mixed = "".join(r.choice(bits) for _ in range(900))
+    d = spark.createDataFrame([(1, mails), (2, mixed)], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in pii.digest(d).collect()}
+    assert got[1]["n_email"] == 20_000 and got[1]["base_sha256"] == hashlib.sha256(plain_pii(mails).encode()).hexdigest()
+    assert got[2]["base_sha256"] == hashlib.sha256(plain_pii(mixed).encode()).hexdigest()
+    base = [(m[1], m[2]) for m in (re.match(r"(\w+):(\d+):(\d+)", x).groups() and (x.split(":")[0], int(x.split(":")[1]), int(x.split(":")[2])) for x in got[2]["spans"].split(",")) if m[0] in pii.BASE]
+    added = []
+    for kind, pattern, words in (("iban", r"\b[A-Z][A-Z][0-9][0-9](?:\x20?[A-Z0-9]){11,30}\b", None), ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "ssn"), ("local_phone", r"\b[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}\b", "tel|phone|call|fax|mobil")):
+        for m in re.finditer(pattern, mixed, re.A):
+            if words is None or re.search(rf"\b(?:{words})", mixed[max(0, m.start() - 40) : m.start()].lower()):
+                if not any(m.start() < e and s < m.end() for s, e in base):
+                    added.append(f"{kind}:{m.start()}:{m.end()}")
+    assert added and sorted(x for x in got[2]["spans"].split(",") if x.split(":")[0] not in pii.BASE) == sorted(added)
+
+
 def plain_secrets(t):
     out = [(m.start(), 0, m.end(), "assign") for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
