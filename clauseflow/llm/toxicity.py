@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import plus, tune
@@ -21,9 +21,12 @@ from .wordhash import U, mix, rolling, run_hashes
 
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (3, 4, 5, 6)
 PASSAGE, STRIDE = 16, 8
-EPOCHS, RATE, BATCH, SEED = 20, 14.0, 8, 7
+EPOCHS, STEPS, RATE, BATCH, SEED = 8, 1000, 14.0, 16, 7
+FOLDS = 2
 #: The model is learned from at most this many labelled documents (those with the smallest hash of doc_id), read whole.
 MAX_SAMPLE = 3000
+#: ... and no further than the one that brings them to this many bytes.
+MAX_BYTES = 64 << 20
 THRESHOLD = 0.3
 CHUNK_CHARS = 1 << 18
 _BLANK = 32
@@ -150,8 +153,55 @@ def _vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return number, np.concatenate(rows), flat, ends
 
 
+class _Bags:
+    """Labelled texts as numbers: their words, each distinct word's n-grams, and their passages."""
+
+    def __init__(self, texts: list[str], labels: np.ndarray):
+        self.words, row, self.flat, self.ends = _vocabulary(texts)
+        self.lo, self.hi, of_doc = passages(np.searchsorted(row, np.arange(len(texts) + 1)))
+        self.docs, start = np.unique(of_doc, return_index=True)
+        self.y, self.start = labels[self.docs], start
+        self.passage = np.repeat(np.arange(len(self.docs)), np.diff(np.append(start, len(of_doc))))
+        self.grams = np.concatenate(([0], np.cumsum(np.diff(self.ends)[self.words])))
+        self.row = row
+
+    def telling(self) -> np.ndarray:
+        """For every passage how much its most telling word speaks for label 1: the log-odds of documents with the word, over
+        their standard error."""
+        n_words, of = len(self.ends) - 1, np.searchsorted(self.docs, self.row)
+        seen = np.unique(self.words.astype(np.int64) * len(self.docs) + of)
+        label = self.y[seen % len(self.docs)]
+        yes = np.bincount(seen // len(self.docs), weights=label, minlength=n_words) + 0.5
+        no = np.bincount(seen // len(self.docs), weights=1 - label, minlength=n_words) + 0.5
+        odds = np.log(yes / (self.y.sum() + 1)) - np.log(no / ((1 - self.y).sum() + 1))
+        each = (odds / np.sqrt(1 / yes + 1 / no))[self.words]
+        view = np.lib.stride_tricks.sliding_window_view(np.append(each, np.full(PASSAGE - 1, -np.inf)), PASSAGE)
+        short = np.arange(PASSAGE)[None, :] < (self.hi - self.lo)[:, None]
+        return np.where(short, view[self.lo], -np.inf).max(1)
+
+    def scored(self, model: Model) -> np.ndarray:
+        """Every passage's log-odds before the bias."""
+        total = np.concatenate(([0.0], np.cumsum(model.linear()[0][self.flat], dtype=np.float64)))
+        gain = np.concatenate(([0.0], np.cumsum((total[self.ends[1:]] - total[self.ends[:-1]])[self.words])))
+        return (gain[self.hi] - gain[self.lo]) / (self.grams[self.hi] - self.grams[self.lo])
+
+    def worst(self, score: np.ndarray) -> np.ndarray:
+        """For every document its first passage with the highest score."""
+        top = np.flatnonzero(score == np.maximum.reduceat(score, self.start)[self.passage])
+        return top[np.unique(self.passage[top], return_index=True)[1]]
+
+
+def _spread(lo: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """lo[0], lo[0] + 1, ..., for many[0] numbers, then from lo[1] on, and so forth."""
+    return np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+
+
 def train(texts: list[str], labels: list[int]) -> Model:
-    """Minibatch gradient descent over (text, label) with a falling rate; without two different labels a model of the bias alone."""
+    """Minibatch gradient descent over (text, label) with a falling rate; without two different labels a model of the bias alone.
+
+    In the first quarter of the epochs a document's passage is the one with its most telling word, then the one that the model
+    itself scores highest. Small samples have more epochs, up to STEPS minibatches.
+    """
     rng = np.random.default_rng(SEED)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     w, b = rng.normal(0, 0.1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -160,50 +210,72 @@ def train(texts: list[str], labels: list[int]) -> Model:
         b[1] = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return Model(emb * 0, w, b)
     b[1] = np.log(y.mean() / (1 - y.mean()))
-    words_flat, row, flat, ends = _vocabulary(texts)
-    if not len(words_flat):
+    bags, model = _Bags(texts, y), Model(emb, w, b)
+    if not len(bags.words):
         return Model(emb * 0, w, b)
-    lo, hi, of_doc = passages(np.searchsorted(row, np.arange(len(texts) + 1)))
-    kept, start = np.unique(of_doc, return_index=True)
-    y, start = y[kept], np.append(start, len(of_doc))
-    many = np.concatenate(([0], np.cumsum(np.diff(ends)[words_flat])))
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
-        per_gram = (emb @ (w[:, 1] - w[:, 0]))[flat]
-        total = np.concatenate(([0.0], np.cumsum(per_gram, dtype=np.float64)))
-        per_word = total[ends[1:]] - total[ends[:-1]]
-        gain = np.concatenate(([0.0], np.cumsum(per_word[words_flat])))
-        score = (gain[hi] - gain[lo]) / (many[hi] - many[lo])
-        pick = np.array([start[i] + int(np.argmax(score[start[i] : start[i + 1]])) for i in range(len(kept))])
-        order = rng.permutation(len(kept))
+    telling = bags.worst(bags.telling())
+    epochs = max(EPOCHS, min(8 * EPOCHS, -(-STEPS * BATCH // len(bags.docs))))
+    sizes = np.diff(bags.ends)
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
+        order = rng.permutation(len(bags.docs))
+        pick = (telling if 4 * epoch < epochs else bags.worst(bags.scored(model)))[order]
+        lo, many = bags.lo[pick], bags.hi[pick] - bags.lo[pick]
+        own = bags.words[_spread(lo, many)]
+        grams = bags.flat[_spread(bags.ends[own], sizes[own])]
+        cut = np.concatenate(([0], np.cumsum(bags.grams[bags.hi[pick]] - bags.grams[bags.lo[pick]])))
         for at in range(0, len(order), BATCH):
-            own = order[at : at + BATCH]
-            grams = [np.concatenate([flat[ends[x] : ends[x + 1]] for x in words_flat[lo[pick[i]] : hi[pick[i]]]]) for i in own]
-            n = np.array([len(x) for x in grams])
-            ids, of = np.concatenate(grams), np.repeat(np.arange(len(own)), n)
-            mean = np.zeros((len(own), DIM), np.float32)
-            np.add.at(mean, of, emb[ids])
-            mean /= n[:, None]
+            end = min(at + BATCH, len(order))
+            ids, n = grams[cut[at] : cut[end]], np.diff(cut[at : end + 1])
+            mean = np.add.reduceat(emb[ids], cut[at:end] - cut[at], axis=0) / n[:, None].astype(np.float32)
             z = mean @ w + b
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(own)), y[own]] -= 1
-            each = (p @ w.T) / n[:, None]
-            seen, back = np.unique(ids, return_inverse=True)
-            step = np.zeros((len(seen), DIM), np.float32)
-            np.add.at(step, back, each[of])
-            emb[seen] -= rate * step
-            w -= rate * 0.0125 * (mean.T @ p)
-            b -= rate * 0.0025 * p.sum(0)
-    return Model(emb, w, b)
+            p[np.arange(end - at), bags.y[order[at:end]]] -= 1
+            each = np.repeat((p @ w.T) / n[:, None], n, axis=0)
+            by = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], ids[by][1:] != ids[by][:-1])))
+            emb[ids[by][first]] -= rate * np.add.reduceat(each[by], first, axis=0).astype(np.float32)
+            w -= rate * 0.0125 * (mean.T @ p).astype(np.float32)
+            b -= rate * 0.0025 * p.sum(0).astype(np.float32)
+    return model
+
+
+def best_cut(z: np.ndarray, y: np.ndarray) -> float:
+    """The log-odds from which on calling a document label 1 has the highest F1, midway to the next lower ones."""
+    order = np.argsort(-z, kind="stable")
+    hits = np.cumsum(y[order])
+    f1 = 2 * hits / (np.arange(1, len(z) + 1) + y.sum())
+    k = int(np.argmax(f1))
+    return float((z[order[k]] + z[order[min(k + 1, len(z) - 1)]]) / 2)
+
+
+def calibrated(texts: list[str], labels: list[int]) -> Model:
+    """A model of all texts whose THRESHOLD is the best cut: FOLDS models of the other texts score each fold, and the bias moves
+    the cut that is best for these scores to THRESHOLD."""
+    y = np.array(labels, np.int64)
+    model = train(texts, labels)
+    fold = np.random.default_rng(SEED).permutation(len(y)) % FOLDS
+    if len(y) < 2 * FOLDS or not 2 * FOLDS <= y.sum() <= len(y) - 2 * FOLDS:
+        return model
+    z = np.zeros(len(y))
+    for k in range(FOLDS):
+        part = train([t for t, f in zip(texts, fold) if f != k], y[fold != k].tolist())
+        own = scores([t for t, f in zip(texts, fold) if f == k], *part.linear())
+        z[fold == k] = np.log(own) - np.log1p(-np.minimum(own, 1 - 1e-12))
+    model.b[1] += np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(z, y)
+    return model
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> tuple[list[str], list[int]]:
     """Texts and labels of at most max_sample learning rows, in a fixed order."""
     named = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").collect()  # broadcast: at most max_sample rows
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    # Broadcast: at most max_sample rows. Of rows that share a doc_id one text is read.
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    before = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < MAX_BYTES).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [int(r["toxic"] == 1) for r in rows]
 
 
@@ -234,6 +306,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of docs; a null doc_id counts as not held out."""
-    found = score(docs.select("doc_id", "text"), train(*sample(docs, labels, max_sample)))
+    """doc_id, held_out, score and predicted for every row of docs; a null doc_id counts as not held out.
+
+    Null, empty and wordless texts get the bias's score, texts of any length are read whole, repeated rows count each; other
+    columns of docs are left out, an empty table gives no rows, and labels of one kind only a score that is the same for all.
+    """
+    found = score(docs.select("doc_id", "text"), calibrated(*sample(docs, labels, max_sample)))
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
