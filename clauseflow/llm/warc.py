@@ -51,7 +51,8 @@ def plan_captures(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, bytes, digest, nth (occurrence of the page_id), first (page_id that holds the payload).
 
     Pages with equal payloads of at least LEAST_REVISIT_BYTES bytes share `first`, the smallest page_id. Null html is an
-    empty payload. Rows that repeat a page_id are captures of their own; a null page_id is never `first`.
+    empty payload. Rows that repeat a page_id are captures of their own; a null page_id is `first` only where no other page
+    has the payload, and then all of these are responses.
     """
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     own = own.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
@@ -60,11 +61,11 @@ def plan_captures(pages: DataFrame) -> DataFrame:
     narrow = materialize(own.select("page_id", "digest", "bytes").where(F.col("bytes") >= LEAST_REVISIT_BYTES), "warc-digests")
     firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     firsts = materialize(firsts, "warc-firsts")
-    again = narrow.join(firsts, "digest").where(F.col("page_id") != F.col("first")).select("page_id", F.struct("digest", "first").alias("r"))
+    again = narrow.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", F.struct("digest", "first").alias("r"))
     again = materialize(again, "warc-revisits").groupBy(F.col("page_id").alias("r_page")).agg(F.map_from_entries(F.collect_set("r")).alias("firsts"))
     nth = F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url"))
     # Joined by page_id alone, so that the window needs no second shuffle of the payloads.
-    joined = own.join(again, F.col("page_id") == F.col("r_page"), "left").withColumn("first", F.element_at("firsts", F.col("digest")))
+    joined = own.join(again, F.col("page_id").eqNullSafe(F.col("r_page")), "left").withColumn("first", F.element_at("firsts", F.col("digest")))
     return joined.drop("r_page", "firsts").withColumn("nth", nth)
 
 
