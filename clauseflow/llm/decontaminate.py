@@ -247,7 +247,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest."""
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, one row per row of docs.
+
+    Null and empty texts have no words, repeated rows count each; an empty benchmark contaminates nothing, an empty table of
+    documents gives no rows. Rows of one item_id are one item.
+    """
     found = find_contamination(docs.select("doc_id", "text"), benchmark)
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     items = F.transform("matches", lambda m: m["item"])

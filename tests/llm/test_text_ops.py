@@ -279,6 +279,11 @@ def test_language(spark, odd):
     truth = {i: lang for i, _, lang in rows}
     assert sum(x["lang_pred"] == truth[x["doc_id"]] for x in got if x["held_out"]) >= 0.95 * sum(x["held_out"] for x in got) > 20
     assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 3 == 1) and 0 <= x["score"] <= 1 for x in got)
+    signs = spark.createDataFrame([(1, "½ ²"), (2, "Ⅷ 12"), (3, "हिन्दी में"), (4, "of")], "doc_id long, text string")
+    assert [x["lang_pred"] == "und" for x in langid.classify(signs, langid.learn(d)).orderBy("doc_id").collect()] == [True, True, False, False]
+    assert langid.normalised("हिन्दी, में 12") == "हिन्दी में ".encode()
+    clash = langid.classify(odd.withColumnRenamed("source", "lang_pred").withColumnRenamed("n_words", "rejected"), langid.learn(d))
+    assert clash.count() == 10 and {x["lang_pred"] for x in clash.collect()} <= {"en", "de", "und"}
     o = langid.classify(odd, langid.learn(d))
     assert o.count() == 10 and {x["lang_pred"] for x in o.where("text IS NULL OR doc_id IN (2, 3, 4)").collect()} == {"und"}
     assert langid.identify(empty(spark)).count() == 0 and {x["lang_pred"] for x in langid.classify(odd, {}).collect()} == {"und"}
@@ -297,6 +302,21 @@ def test_every_language_is_learned(spark):
     assert all(x["lang_pred"] == truth[x["doc_id"]] for x in got) and any(x["held_out"] and truth[x["doc_id"]] > "l63" for x in got)
 
 
+def test_margins_are_calibrated(spark):
+    """A thousandth part of texts of learned languages is rejected, most texts of another alphabet's letters in their words are."""
+    r = random.Random(9)
+    say = {lang: [letters(r, r.randrange(2, 9)) for _ in range(300)] for lang in ("aa", "bb")}
+    rows = [(i, " ".join(r.choice(say[lang]) for _ in range(60)), lang) for i, lang in enumerate(["aa", "bb"] * 900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.learn(d)
+    margins = langid.calibrate(d, learned)
+    assert margins and max(margins.values()) > 1
+    own = langid.classify(d, learned, margins=margins)
+    assert own.where("rejected").count() <= 0.03 * len(rows)
+    foreign = spark.createDataFrame([(i, " ".join(letters(r, 6) for _ in range(60)), "zz") for i in range(200)], d.schema)
+    assert langid.classify(foreign, learned, margins=margins).where("rejected").count() > 150 > langid.classify(foreign, learned).where("rejected").count()
+
+
 def test_long_documents_fill_a_dictionary(spark):
     r = random.Random(5)
     say = {lang: [letters(r, 7) for _ in range(400)] for lang in ("aa", "bb", "cc")}
@@ -352,7 +372,7 @@ def test_decontamination_against_plain_search(spark, odd, monkeypatch):
     r = random.Random(6)
     word = lambda: r.choice("a b c É d1 Zz 条".split())
     items = [(i, " ".join(word() for _ in range(r.choice([0, 1, 3, 10, 12, 30])))) for i in range(12)] + [(50, None), (51, "--")]
-    items = [(i, t) for i, t in items if t is None or len(t.split()) != 1]
+    items += [(60, "a"), (61, "É")]
     docs = [(i, " ".join(word() for _ in range(r.choice([0, 5, 40, 200]))) + " " + (r.choice(items)[1] or "")) for i in range(60)] + [(100, None), (101, "")]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for block in (8 << 20, 20):
