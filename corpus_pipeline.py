@@ -17,9 +17,11 @@ SHINGLE, PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what no learned language fits: null texts, texts without letters, and those with no margin between languages."""
-    found = langid.classify(docs, langid.learn(docs))
-    return found.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    """Drops documents whose language is rejected: null texts, texts without letters, and those whose margin between two
+    languages is narrower than usual for their length. Repeated rows stay or go together."""
+    learned = langid.learn(docs)
+    kept = langid.classify(docs, learned, margins=langid.calibrate(docs, learned)).where(~F.col("rejected"))
+    return kept.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     same = jaccard.similar_documents(keyed.select(F.col("_key").alias("doc_id"), "text"), SHINGLE, PERCENT)
     members = same.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(keyed.select("_key", "doc_id").distinct(), "_key")
     kept = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select(F.col("first._key").alias("_key"))
-    order = Window.partitionBy("_key").orderBy("source", "lang")
+    order = Window.partitionBy("_key").orderBy(*(c for c in ("source", "lang") if c in docs.columns), "text")
     return keyed.join(kept, "_key", "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
 
 
@@ -49,7 +51,8 @@ def _told_apart(docs: DataFrame) -> DataFrame:
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark window occurs."""
+    """Drops documents in which a benchmark window occurs. Null and empty texts have none and stay, as do all texts where the
+    benchmark is empty; repeated rows stay or go together."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -60,7 +63,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The plan of the mix: for each document how many words it gives and to which output shards."""
+    """The plan of the mix: for each document how many words it gives and which of its blocks go to which output shards.
+
+    Null and empty texts give none, a null source is a source of its own, repeated rows count each.
+    """
     plan = mixing.mix(docs)
     return plan.select("doc_id", "source", "size", "source_size", "target", "taken", F.to_json("shards").alias("shards"))
 
