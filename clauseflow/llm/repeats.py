@@ -13,7 +13,7 @@ one seed phrase, the one in it with the smallest hash (a minimizer), and equal w
    occurrence leads its group.
 
 Copies of one passage, however many, don't meet in one task: a map task sends one row for the copies it has seen itself
-(one owner of a phrase, one window as its earliest) and passes the rest on wherever there is room.
+(one owner of a phrase, one window as its earliest) and passes the rest on wherever there is room, as ranges of windows.
 """
 
 from __future__ import annotations
@@ -30,13 +30,15 @@ from .scratch import materialize, plus, tune
 from .wordhash import SPACED, U, mix, run_hashes, text_chunks, word_bounds, word_hashes, words
 
 WINDOW, SEED = 20, 8
-CHUNK = 1 << 21
+CHUNK = 1 << 22
 #: Phrases of one automaton, and documents that go through it in one task.
-SHARD_PHRASES, SHARD_DOCS = 50_000, 4096
+SHARD_PHRASES, SHARD_DOCS = 50_000, 1 << 14
 NULL_ID = -(1 << 63)
 #: Kinds of rows: a phrase of a document; one that the task saw elsewhere too; a document that follows an owner.
 ALONE, SEVERAL, FOLLOWS = 0, 1, 2
 _SECOND_STEP = 0xA0761D6478BD642F
+#: A window by its hashes (many 0), or a range of so many windows that are known to repeat.
+_WINDOW = ["k", "k2", "doc_id", "th", "at", "many"]
 
 
 def letters_of(h: np.ndarray) -> np.ndarray:
@@ -184,7 +186,7 @@ def _emit_windows(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.
                 continue
             if machine is None:
                 machine = compile_automaton(np.concatenate(codes) if codes else np.zeros(0, U))
-            yield from _windows(machine, *(b.column(i).slice(lo, hi - lo) for i in (4, 5, 6)), chunk)
+            yield from _windows(machine, *(b.column(i).slice(lo, hi - lo) for i in (5, 6, 7)), chunk)
 
 
 def _windows(machine, doc_ids: pa.Array, hashes: pa.Array, texts: pa.Array, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
@@ -209,17 +211,22 @@ def _windows(machine, doc_ids: pa.Array, hashes: pa.Array, texts: pa.Array, chun
         # Rows of a document that stands there twice share their place and are no repeats of each other.
         later = np.zeros(len(k), bool)
         later[o] = (own[o] != own[lead]) | (th[o] != th[lead]) | (at[o] != at[lead])
-        # The lowest bit of the place says that it is a repeat already; such rows lie under keys of their own.
-        yield _long(np.where(later, _scatter(own, at), k), k2, own, th, at * 2 + later, names=["k", "k2", "doc_id", "th", "at"])
+        yield _long(k[~later], k2[~later], own[~later], th[~later], at[~later], np.zeros((~later).sum(), np.int64), names=_WINDOW)
+        # What repeats already goes on as ranges of window starts, under keys that spread them.
+        known = start[later]
+        new = np.concatenate(([True], (known[1:] != known[:-1] + 1) | (r[later][1:] != r[later][:-1]))) if len(known) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        own, th, at, many = own[later][first], th[later][first], at[later][first], np.diff(np.append(first, len(known)))
+        yield _long(_scatter(own, at), np.zeros(len(at), np.int64), own, th, at, many, names=_WINDOW)
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by both hashes and place: all but those at the first place of their window."""
+    """Of rows sorted by both hashes and place: all but those at the first place of their window; ranges pass through."""
     last: tuple[int, ...] | None = None
     for b in batches:
-        k, k2, ids, th, at = (np.asarray(c) for c in b.columns)
-        # Known repeats lie under keys of their own; should one share a real key, it must not lead the group.
-        real = np.flatnonzero(at & 1 == 0)
+        k, k2, ids, th, at, many = (np.asarray(c) for c in b.columns)
+        # Should a range share a window's key, it must not lead the group.
+        real = np.flatnonzero(many == 0)
         lead = np.zeros(len(k), bool)
         if len(real):
             rk, rk2, ri, rt, ra = k[real], k2[real], ids[real], th[real], at[real]
@@ -229,11 +236,11 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lead[real] = (ri == f[0]) & (rt == f[1]) & (ra == f[2])
             last = (int(rk[-1]), int(rk2[-1]), int(f[0][-1]), int(f[1][-1]), int(f[2][-1]))
         keep = ~lead
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(th[keep]), pa.array((at[keep] >> 1).astype(np.int32))], names=["doc_id", "th", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(th[keep]), pa.array(at[keep].astype(np.int32)), pa.array(np.maximum(many[keep], 1).astype(np.int32))], names=["doc_id", "th", "at", "many"])
 
 
 def _routes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shard, part, k): the phrases of every shard; (u, shard, part): the documents that go there."""
+    """(shard, part, k): the phrases of every shard; (u, shard, part, o): the documents that go there, by owner."""
     rows = keyed.select("u", "text").mapInArrow(lambda b: _emit_phrases(b, CHUNK), "k long, u long, o long, kind long").repartition("k").sortWithinPartitions("k", "u")
     found = materialize(rows.mapInArrow(_confirm, "u long, o long, k long"), "repeat-phrases")
     owned, follow = found.where("k IS NOT NULL").select("o", "k"), found.where("k IS NULL").select("u", "o")
@@ -247,17 +254,19 @@ def _routes(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
         owned, follow = owned.join(many, "o", "left"), follow.join(many, "o", "left")
         one = lambda n: F.when(F.col("own").isNotNull(), F.xxhash64("o", n)).otherwise(F.pmod("o", F.lit(shards)))
         owned = owned.select("k", one(F.pmod(F.xxhash64("k"), F.col("own"))).alias("shard"))
-        follow = follow.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("own", F.lit(1)) - 1)).alias("n"), "o", "own").select("u", one(F.col("n")).alias("shard"))
+        follow = follow.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("own", F.lit(1)) - 1)).alias("n"), "o", "own").select("u", one(F.col("n")).alias("shard"), "o")
     else:
-        owned, follow = owned.select("k", shard.alias("shard")), follow.select("u", shard.alias("shard"))
-    follow = materialize(follow.distinct(), "repeat-routes")
+        owned, follow = owned.select("k", shard.alias("shard")), follow.select("u", shard.alias("shard"), "o")
+    # In a shard, documents that follow one owner stand side by side, so that most repeats are known in one chunk.
+    follow = materialize(follow.groupBy("u", "shard").agg(F.min("o").alias("o")), "repeat-routes")
     parts = materialize(follow.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARD_DOCS)).alias("parts")), "repeat-shards")
-    ways = follow.join(parts, "shard").select("u", "shard", F.pmod(F.xxhash64("u"), F.col("parts")).alias("part"))
+    ways = follow.join(parts, "shard").select("u", "shard", F.pmod(F.xxhash64("u"), F.col("parts")).alias("part"), "o")
     return owned.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "k"), ways
 
 
 def find_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, th and the first words (array `at`) of all windows that also start earlier, for documents that have any.
+    """doc_id, th and all windows that also start earlier, as ranges of their first words (arrays `at` and `many`, which may
+    overlap), for documents that have any.
 
     Earlier is a smaller doc_id (null below all), of rows that share a doc_id the one with the smaller text hash, in one
     text the earlier start. A row that occurs twice counts as one document.
@@ -266,25 +275,25 @@ def find_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     keyed = _keyed(docs, text)
     owned, ways = _routes(keyed)
     no, yes = F.lit(None), F.lit(1)
-    compiled = owned.select("shard", "part", F.lit(0).alias("kind"), "k", no.cast("long").alias("doc_id"), no.cast("long").alias("th"), no.cast("string").alias("text"))
-    streamed = keyed.join(ways, "u").select("shard", "part", yes.alias("kind"), no.cast("long").alias("k"), "doc_id", "th", "text")
-    rows = compiled.unionByName(streamed).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
-    windows = rows.mapInArrow(lambda b: _emit_windows(b, CHUNK), "k long, k2 long, doc_id long, th long, at long").repartition("k").sortWithinPartitions("k", "k2", "doc_id", "th", "at")
-    later = materialize(windows.mapInArrow(_later, "doc_id long, th long, at int"), "repeat-windows")
-    return later.groupBy("doc_id", "th").agg(F.collect_set("at").alias("at"))
+    compiled = owned.select("shard", "part", F.lit(0).alias("kind"), "k", no.cast("long").alias("o"), no.cast("long").alias("doc_id"), no.cast("long").alias("th"), no.cast("string").alias("text"))
+    streamed = keyed.join(ways, "u").select("shard", "part", yes.alias("kind"), no.cast("long").alias("k"), "o", "doc_id", "th", "text")
+    rows = compiled.unionByName(streamed).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind", "o")
+    windows = rows.mapInArrow(lambda b: _emit_windows(b, CHUNK), "k long, k2 long, doc_id long, th long, at long, many long").repartition("k").sortWithinPartitions("k", "k2", "doc_id", "th", "at")
+    later = materialize(windows.mapInArrow(_later, "doc_id long, th long, at int, many int"), "repeat-windows")
+    return later.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "many")).alias("x")).select("doc_id", "th", F.col("x.at").alias("at"), F.col("x.many").alias("many"))
 
 
-def strip(texts: pa.Array, removed: list[np.ndarray | None]) -> Iterator[tuple[int, int, bytes]]:
-    """(number of words, number removed, kept words joined by single spaces) of each text; removed has window starts."""
+def strip(texts: pa.Array, removed: list[tuple[np.ndarray, np.ndarray] | None]) -> Iterator[tuple[int, int, bytes]]:
+    """(number of words, number removed, kept words joined by single spaces) of each text; removed has ranges of window starts."""
     for lo, hi, data, off in text_chunks(texts):
         starts, ends, row = words(data, off, SPACED)
         bounds = word_bounds(row, hi - lo)
         cover = np.zeros(len(starts) + 1, np.int64)
         for r in range(lo, hi):
-            if removed[r] is not None and len(removed[r]):
-                at = bounds[r - lo] + removed[r]
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + WINDOW, -1)
+            if removed[r] is not None:
+                at, many = removed[r]
+                np.add.at(cover, bounds[r - lo] + at, 1)
+                np.add.at(cover, bounds[r - lo] + at + many - 1 + WINDOW, -1)
         keep = np.cumsum(cover[:-1]) <= 0
         s, e, kr = starts[keep], ends[keep], row[keep]
         more = np.zeros(len(s), bool)  # another kept word of the same text follows
@@ -315,12 +324,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", digest: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.column(2)
-            out = list(strip(b.column(1), [np.asarray(a.values) if a.is_valid else None for a in at]))
+            ranges = zip(b.column(2), b.column(3), strict=True)
+            out = list(strip(b.column(1), [(np.asarray(a.values), np.asarray(n.values)) if a.is_valid else None for a, n in ranges]))
             n, gone, kept = zip(*out) if out else ((), (), ())
             values = [hashlib.sha256(x).hexdigest() if digest else x.decode("utf-8", "replace") for x in kept]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(values, pa.string())], names=["doc_id", "n_words", "n_removed", last])
 
-    joined = _keyed(docs, text).repartition("doc_id", "th").join(found, ["doc_id", "th"], "left").select("doc_id", "text", "at")
+    joined = _keyed(docs, text).repartition("doc_id", "th").join(found, ["doc_id", "th"], "left").select("doc_id", "text", "at", "many")
     out = joined.mapInArrow(run, plus(joined.select("doc_id").schema, f"n_words long, n_removed long, {last} string"))
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
