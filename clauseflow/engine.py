@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauseflow import taxonomy as T
 from clauseflow.functions import text as X
-from clauseflow.operators import ask, history, normalize, report, scan, segment
+from clauseflow.operators import ask, history, model_analysis, normalize, report, scan, segment
 from clauseflow.session import share_package
 from clauseflow.sources import documents
 
@@ -56,6 +57,11 @@ class Engine:
     def compare(self, older: Analysis, newer: Analysis) -> DataFrame:
         return history.compare(older.findings, newer.findings)
 
+    def analyze_with_models(self, docs: DataFrame, models: list) -> model_analysis.ModelAnalysis:
+        """docs has doc_id, title and text; models are callables from prompt to answer, see `model_analysis.analyze`."""
+        normal = normalize.normalize_documents(docs.select("doc_id", "title", "text")).select("doc_id", "title", "text")
+        return model_analysis.analyze(normal, segment.clauses(normal.select("doc_id", "text")), models)
+
     def taxonomy(self) -> DataFrame:
         return scan.categories(self.spark, self.categories)
 
@@ -63,9 +69,16 @@ class Engine:
         return documents.formats(self.spark)
 
     def register(self) -> None:
-        """SQL functions of the same semantics: cf_fingerprint, cf_locate_quote, cf_parse_model_json."""
+        """SQL functions of the same semantics: cf_fingerprint, cf_locate_quote, cf_parse_model_json, cf_extract_html."""
         from clauseflow.functions.modeljson import parse_udf
         from clauseflow.operators.verify import locate_udf
+        from clauseflow.sources.html import extract
 
         for name, f in (("cf_fingerprint", normalize.fingerprint_udf), ("cf_locate_quote", locate_udf), ("cf_parse_model_json", parse_udf)):
             self.spark.udf.register(name, f)
+
+        @F.pandas_udf("string")
+        def extract_html(html: pd.Series) -> pd.Series:
+            return html.map(lambda h: extract(h)["text"])
+
+        self.spark.udf.register("cf_extract_html", extract_html)

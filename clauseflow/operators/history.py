@@ -29,6 +29,25 @@ def save(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def delete(spark: SparkSession, path: str, ids: list[str], to: str) -> None:
+    """History without these entries, written to another path: a table isn't overwritten while it is read."""
+    spark.read.schema(ENTRY).parquet(path).where(~F.col("id").isin(ids)).write.mode("overwrite").parquet(to)
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    spark.createDataFrame([], ENTRY).write.mode("overwrite").parquet(path)
+
+
+def chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of docs that are chosen by ids (doc_id); ids that aren't there choose nothing."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def save_json(results: DataFrame, path: str) -> None:
+    """Results as JSON lines."""
+    results.write.mode("overwrite").json(path)
+
+
 def latest(spark: SparkSession, path: str, most: int = K.HISTORY_ENTRIES) -> DataFrame:
     return retain(spark.read.schema(ENTRY).parquet(path), most)
 

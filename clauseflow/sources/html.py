@@ -19,6 +19,8 @@ BOILERPLATE = re.compile(
 )
 HINT = re.compile("terms|tos|agreement|privacy|policy|legal|contract|eula|用户协议|服务协议|隐私政策|条款|协议", re.I)
 PUNCTUATION = re.compile("[,.;:!?，。；：！？、·]")
+#: Elements nest this deep, as in browsers.
+MAX_DEPTH = 256
 MIN_TEXT, KEEP_CHARS, MAX_CANDIDATES, LEAST_DENSITY = 400, 8000, 10, 0.3
 # Named entities that are read; others stay as they are.
 ENTITIES = {
@@ -59,7 +61,7 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 def parse(html: str) -> Node:
     """A tree of whatever is there: unclosed and misplaced tags are taken as browsers take them, a stray `<` is text."""
     root = Node("#root")
-    here, at = root, 0
+    here, at, depth = root, 0, {id(root): 0}
 
     def text(s: str) -> None:
         if s:
@@ -89,8 +91,11 @@ def parse(html: str) -> Node:
             name = m[3].lower()
             while here.parent is not None and name in CLOSED_BY.get(here.tag, ()):
                 here = here.parent
+            if depth[id(here)] >= MAX_DEPTH and name not in RAW:
+                continue  # what nests deeper counts as content of the element it is in
             node = Node(name, {a[1].lower(): decode_entities(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[4] or "")}, parent=here)
             here.children.append(node)
+            depth[id(node)] = depth[id(here)] + 1
             if name in RAW and not (m[4] or "").endswith("/"):
                 end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
                 node.children.append(html[at : end.start() if end else len(html)])

@@ -193,15 +193,17 @@ class Document:
     def __init__(self, data: bytes):
         self.data, self.warnings = data, []
         self.objects: dict[int, object] = {}
+        self.places: dict[int, int] = {}
         self.encrypted = bool(re.search(rb"/Encrypt\s+(?:\d+\s+\d+\s+R|<<)", data))
         for m in re.finditer(rb"(?<![0-9])(\d{1,8})\s+(\d{1,5})\s+obj\b", data):  # later ones win, as updates are appended
             try:
                 self.objects[int(m[1])] = self._object(m.end())
+                self.places[int(m[1])] = m.start()
             except Exception:  # noqa: BLE001 - a damaged object is left out
                 continue
-        for o in list(self.objects.values()):
-            if isinstance(o, Stream) and o.head.get("Type") == "ObjStm":
-                self._unpack(o)
+        packed = [(self.places[n], o) for n, o in self.objects.items() if isinstance(o, Stream) and o.head.get("Type") == "ObjStm"]
+        for place, o in sorted(packed, key=lambda x: x[0]):
+            self._unpack(o, place)
 
     def _object(self, at: int):
         lex = Lexer(self.data, at)
@@ -215,12 +217,14 @@ class Document:
         end = self.data.find(b"endstream", start)
         return Stream(v, self.data[start : end if end >= 0 else len(self.data)].rstrip(b"\r\n"))
 
-    def _unpack(self, s: Stream) -> None:
+    def _unpack(self, s: Stream, place: int) -> None:
+        """The objects of a stream, which stand where the stream stands: older ones give way, newer ones stay."""
         try:
             body, n, first = self.decode(s), self.get(s.head["N"]), self.get(s.head["First"])
             nums = list(map(int, body[:first].split()[: 2 * n]))
             for num, off in zip(nums[::2], nums[1::2], strict=True):
-                self.objects.setdefault(num, Lexer(body, first + off).value())
+                if self.places.get(num, -1) < place:
+                    self.objects[num], self.places[num] = Lexer(body, first + off).value(), place
         except Exception:  # noqa: BLE001
             self.warnings.append("damaged object stream")
 
