@@ -181,8 +181,8 @@ class _Bags:
 
     def scored(self, model: Model) -> np.ndarray:
         """Every passage's log-odds before the bias."""
-        total = np.concatenate(([0.0], np.cumsum(model.linear()[0][self.flat], dtype=np.float64)))
-        gain = np.concatenate(([0.0], np.cumsum((total[self.ends[1:]] - total[self.ends[:-1]])[self.words])))
+        each = np.add.reduceat(model.linear()[0][self.flat], self.ends[:-1])
+        gain = np.concatenate(([0.0], np.cumsum(each[self.words], dtype=np.float64)))
         return (gain[self.hi] - gain[self.lo]) / (self.grams[self.hi] - self.grams[self.lo])
 
     def worst(self, score: np.ndarray) -> np.ndarray:
