@@ -297,9 +297,11 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     keyed = _keyed(docs)
     sets = materialize(keyed.mapInArrow(_describe(k), "doc_id long, n long, d long, digest binary"), "sets")
     firsts = materialize(sets.where("n > 0").groupBy("digest", "d").agg(F.min("doc_id").alias("doc")), "set-firsts")
-    several = materialize(firsts.groupBy("doc").count().where("count > 1").select("doc", F.lit(True).alias("shared")), "set-shared-ids")
-    if any_shared := not several.isEmpty():
-        named = firsts.join(several, "doc", "left").select("digest", "d", "doc", F.when(F.col("shared"), F.col("d")).otherwise(F.col("doc")).alias("rep"))
+    # Ids of several rows; with different sets, their sets go by half a digest, as the id names none of them.
+    ids = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), (F.min("d") != F.max("d")).alias("shared"))
+    repeated = materialize(ids.where("c > 1").select(F.col("doc_id").alias("doc"), "shared"), "set-repeated-ids")
+    if any_repeated := not repeated.isEmpty():
+        named = firsts.join(repeated, "doc", "left").select("digest", "d", "doc", F.when(F.col("shared"), F.col("d")).otherwise(F.col("doc")).alias("rep"))
         firsts = materialize(named, "set-keys")
     else:
         firsts = firsts.withColumn("rep", F.col("doc"))
@@ -307,9 +309,9 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     base = sets.where("n > 0").join(firsts.drop("d"), "digest").select("doc_id", "n", "doc", "rep")
     base = materialize(base.unionByName(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("doc"), F.lit(None).cast("long").alias("rep"))), "set-reps")
     lists = _lists(keyed, base, firsts, k, percent)
-    texts = materialize(_texts(keyed, firsts, lists.select("rep").distinct(), any_shared, k), "set-texts")
+    texts = materialize(_texts(keyed, firsts, lists.select("rep").distinct(), any_repeated, k), "set-texts")
     labels = _link(lists, texts, k, percent)
-    if any_shared:  # the smallest key of a component needn't be its smallest doc_id
+    if any_repeated:  # the smallest key of a component needn't be its smallest doc_id
         smallest = labels.join(firsts.select("rep", "doc"), "rep").groupBy("comp").agg(F.min("doc").alias("smallest"))
         labels = labels.join(smallest, "comp").select("rep", F.col("smallest").alias("comp"))
     discard(sets, texts)
@@ -318,11 +320,11 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     return out.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != NULL_ID, component).alias("component_id"))
 
 
-def _texts(keyed: DataFrame, firsts: DataFrame, members: DataFrame, any_shared: bool, k: int) -> DataFrame:
+def _texts(keyed: DataFrame, firsts: DataFrame, members: DataFrame, any_repeated: bool, k: int) -> DataFrame:
     """(rep, text): for each set of members a text that has it."""
     wanted = firsts.join(members, "rep")
     own = keyed.join(wanted.where("rep = doc").select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    if any_shared:
+    if any_repeated:
         names = wanted.where("rep != doc").select(F.col("doc").alias("doc_id"), "d", "rep")
         rows = keyed.join(names.select("doc_id").distinct(), "doc_id", "left_semi")
 

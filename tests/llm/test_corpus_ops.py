@@ -102,6 +102,14 @@ def test_jaccard_odd_rows(spark):
     assert got == sorted([(None, 2, None), (3, 2, None), (3, 2, None), (5, 0, 5)], key=str)
 
 
+def test_jaccard_id_with_a_set_named_elsewhere(spark):
+    """Ids 5 and 9 have a second row, whose set a lesser id names, or which has no words."""
+    a, b, c = ("a" + " ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (8, b + " end"), (9, ""), (9, c), (10, c + " end")]
+    got = sorted(map(tuple, jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted([(3, 57, 3), (5, 57, 3), (5, 57, 5), (8, 58, 5), (9, 0, 9), (9, 57, 9), (10, 58, 9)])
+
+
 def plain_row_components(rows, k, percent):
     """Components of rows, each for itself; named by the smallest doc_id, a null one below all."""
     parts = plain_components(list(enumerate(t for _, t in rows)), k, percent)
