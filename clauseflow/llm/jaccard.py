@@ -279,10 +279,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHECKED)).alias("parts"))
-    salted = pairs.join(parts.where("parts > 1"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("salt"))
-    partners_ = salted.join(texts.select(F.col("rep").alias("b"), "text"), "b").select("a", "salt", "b", "text")
-    centres = texts.join(parts, F.col("rep") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
-    rows = centres.unionByName(partners_).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
+    salted = pairs.join(parts.where("parts > 1"), "a", "left").select(F.col("b").alias("rep"), "a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("salt"), "b")
+    centres = parts.select(F.col("a").alias("rep"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
+    rows = texts.join(centres.unionByName(salted), "rep").select("a", "salt", "b", "text")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -309,7 +309,7 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     base = sets.where("n > 0").join(firsts.drop("d"), "digest").select("doc_id", "n", "doc", "rep")
     base = materialize(base.unionByName(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("doc"), F.lit(None).cast("long").alias("rep"))), "set-reps")
     lists = _lists(keyed, base, firsts, k, percent)
-    texts = materialize(_texts(keyed, firsts, lists.select("rep").distinct(), any_repeated, k), "set-texts")
+    texts = materialize(_texts(keyed, firsts, repeated, k), "set-texts") if any_repeated else keyed.select(F.col("doc_id").alias("rep"), "text")
     labels = _link(lists, texts, k, percent)
     if any_repeated:  # the smallest key of a component needn't be its smallest doc_id
         smallest = labels.join(firsts.select("rep", "doc"), "rep").groupBy("comp").agg(F.min("doc").alias("smallest"))
@@ -320,21 +320,19 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     return out.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != NULL_ID, component).alias("component_id"))
 
 
-def _texts(keyed: DataFrame, firsts: DataFrame, members: DataFrame, any_repeated: bool, k: int) -> DataFrame:
-    """(rep, text): for each set of members a text that has it."""
-    wanted = firsts.join(members, "rep")
-    own = keyed.join(wanted.where("rep = doc").select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    if any_repeated:
-        names = wanted.where("rep != doc").select(F.col("doc").alias("doc_id"), "d", "rep")
-        rows = keyed.join(names.select("doc_id").distinct(), "doc_id", "left_semi")
+def _texts(keyed: DataFrame, firsts: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
+    """(rep, text): for each set a text that has it. Ids of one row give theirs as it is, whether or not it names a set."""
+    own = keyed.select(F.col("doc_id").alias("rep"), "text").join(repeated.select(F.col("doc").alias("rep")), "rep", "left_anti")
+    names = firsts.join(repeated.select("doc"), "doc").select(F.col("doc").alias("doc_id"), "d", "rep")
+    rows = keyed.join(names.select("doc_id").distinct(), "doc_id", "left_semi")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                halves = [int.from_bytes(_digest(s)[:8], "little", signed=True) for block in shingle_sets(b.column(1), k) for s in block]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(halves, pa.int64()), b.column(1)], names=["doc_id", "d", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            halves = [int.from_bytes(_digest(s)[:8], "little", signed=True) for block in shingle_sets(b.column(1), k) for s in block]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(halves, pa.int64()), b.column(1)], names=["doc_id", "d", "text"])
 
-        own = own.unionByName(rows.mapInArrow(run, "doc_id long, d long, text string").join(names, ["doc_id", "d"]).select("rep", "text"))
-    return own.groupBy("rep").agg(F.min("text").alias("text"))
+    several = rows.mapInArrow(run, "doc_id long, d long, text string").join(names, ["doc_id", "d"])
+    return own.unionByName(several.groupBy("rep").agg(F.min("text").alias("text")))
 
 
 def _lists(keyed: DataFrame, base: DataFrame, firsts: DataFrame, k: int, percent: int) -> DataFrame:
