@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from re import _constants, _parser
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauseflow import constants as K
 from clauseflow import taxonomy as T
 from clauseflow.functions.text import WS, severity_rank, trim
+from clauseflow.operators.normalize import once
 
 
 def categories(spark: SparkSession, taxonomy: list = T.CATEGORIES) -> DataFrame:
@@ -25,19 +29,73 @@ def severities(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s, i, T.SEVERITY_LABELS[s], T.SEVERITY_WEIGHTS[s]) for i, s in enumerate(T.SEVERITIES)], "severity string, rank int, label string, weight int")
 
 
+def needed(pattern: str) -> frozenset[str] | None:
+    """Texts of which every match of the pattern has one, or null where none can be told; read off the parsed pattern."""
+    try:
+        parsed = _parser.parse(pattern)
+    except (re.error, RecursionError, OverflowError):
+        return None  # Java's syntax, not Python's
+    return None if parsed.state.flags & ~re.UNICODE.value else _needed(parsed)
+
+
+def _needed(items) -> frozenset[str] | None:
+    found, run = [], ""
+    for op, value in [*items, (None, None)]:
+        if op is _constants.LITERAL:
+            run += chr(value)
+            continue
+        found, run = [*found, frozenset([run])] if run else found, ""
+        inner = None
+        if op is _constants.SUBPATTERN:
+            inner = None if value[1] or value[2] else _needed(value[3])  # flags of its own
+        elif op is _constants.BRANCH:
+            each = [_needed(x) for x in value[1]]
+            inner = None if None in each else frozenset().union(*each)
+        elif op in (_constants.MAX_REPEAT, _constants.MIN_REPEAT) and value[0] > 0:
+            inner = _needed(value[2])
+        found += [inner] if inner else []
+    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+def any_of(texts: frozenset[str]) -> str:
+    """A pattern that finds any of the texts, as a tree of their first characters: most places fail at once."""
+    if "" in texts:
+        return ""
+    heads = sorted({t[0] for t in texts})
+    rest = [(h, any_of(frozenset(t[1:] for t in texts if t[0] == h))) for h in heads]
+    parts = [re.escape(h) + r for h, r in rest]
+    return parts[0] if len(parts) == 1 else f"(?=[{''.join(map(re.escape, heads))}])(?:{'|'.join(parts)})"
+
+
+def gate(text: Column, patterns: list[str], ignore_case: bool) -> Column:
+    """Whether a text may match one of the patterns: never false where one matches."""
+    each = [needed(p.lower() if ignore_case else p) if not ignore_case or p.isascii() and "\\" not in p else None for p in patterns]
+    if not patterns or None in each:
+        return F.lit(bool(patterns))
+    texts, t = frozenset().union(*each), F.lower(text) if ignore_case else text
+    plain, wide = (frozenset(x for x in texts if x.isascii() is a) for a in (True, False))
+    out = t.rlike(any_of(plain)) if plain else F.lit(False)
+    # Texts of ASCII characters alone are told at once, and elsewhere those characters are passed over.
+    return out | (t.rlike(r"[^\x00-\x7f]") & t.rlike(r"(?![\x00-\xff])" + any_of(frozenset(x for x in wide if x[0] > "\xff")))) if wide and all(x[0] > "\xff" for x in wide) else t.rlike(any_of(texts))
+
+
 def prescan(clauses: DataFrame, taxonomy: list = T.CATEGORIES) -> DataFrame:
     """One row per clause and category with a match: the clause's columns, category, cat_pos, severity, matches, match_indexes.
 
     Each signal is a literal pattern, compiled once; clauses are read once for all signals, nothing is joined. A signal's
-    first match is kept, cut to MATCH_CHARS, of at most KEPT_MATCHES signals in their order.
+    first match is kept, cut to MATCH_CHARS, of at most KEPT_MATCHES signals in their order. Signals run on clauses that have
+    a text that one of them needs; those that ignore case are gated apart from the others.
     """
     text, found = F.col("text"), []
+    every = [s for c in taxonomy for s in c[6]]
+    gated = once(clauses, _cased=gate(text, [p for p, ic in every if not ic], False), _uncased=gate(text, [p for p, ic in every if ic], True))
     for pos, (name, _, _, baseline, _, _, patterns) in enumerate(taxonomy):
         if patterns:
-            firsts = F.array(*(F.regexp_extract(text, ("(?i)" if ic else "") + p, 0) for p, ic in patterns))
+            firsts = F.array(*(F.when(F.col("_uncased" if ic else "_cased"), F.regexp_extract(text, ("(?i)" if ic else "") + p, 0)).otherwise("") for p, ic in patterns))
             found.append(F.struct(F.lit(name).alias("category"), F.lit(pos).alias("cat_pos"), F.lit(baseline).alias("severity"), F.slice(F.filter(firsts, lambda m: m != ""), 1, K.KEPT_MATCHES).alias("m")))
+    hits = F.when(F.col("_cased") | F.col("_uncased"), F.filter(F.array(*found), lambda s: F.size(s["m"]) > 0))
     # explode_outer, as the optimizer would evaluate all patterns once more to filter out rows without matches.
-    rows = clauses.select("*", F.explode_outer(F.filter(F.array(*found), lambda s: F.size(s["m"]) > 0)).alias("hit")).where("hit IS NOT NULL")
+    rows = gated.select("*", F.explode_outer(hits).alias("hit")).where("hit IS NOT NULL")
     return rows.select(
         *clauses.columns, "hit.category", "hit.cat_pos", "hit.severity", F.transform("hit.m", lambda m: F.substring(m, 1, K.MATCH_CHARS)).alias("matches"),
         F.transform("hit.m", lambda m: F.instr(text, m) - 1).alias("match_indexes"),

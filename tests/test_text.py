@@ -61,3 +61,11 @@ def test_model_json():
 
 def test_fingerprint():
     assert N.fingerprint("您 同意，“赔偿”。") == N.fingerprint('您同意,"赔偿".')
+
+
+def test_normalise_guards(spark):
+    """What guards pass over is what the steps would leave as it is."""
+    assert one(spark, "a \x85", X.trim_held) == one(spark, "a \x85", X.trim)
+    for t in ("a\tb", "a \nb", "a ", "­x", "​x", "　x", "Ａx", "x﻿", "é，中文。", "a\r\nb\rc", None):
+        half = lambda c: X.half_width(X.fold_spaces(X.drop_invisible(F.regexp_replace(c, "\r\n?", "\n"))))
+        assert one(spark, t, X.unify_lines) == one(spark, t, lambda c: F.regexp_replace(F.regexp_replace(half(c), "\t", " "), r"[ ]+(?=\n|\z)", "")), t
