@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from re import _constants, _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,9 +68,16 @@ def any_of(texts: frozenset[str]) -> str:
     return parts[0] if len(parts) == 1 else f"(?=[{''.join(map(re.escape, heads))}])(?:{'|'.join(parts)})"
 
 
+def _necessary(pattern: str, ignore_case: bool) -> frozenset[str] | None:
+    """As `needed`; of patterns that ignore case in lower case, and only where these are plain ASCII."""
+    if ignore_case:
+        return needed(pattern.lower()) if pattern.isascii() and "\\" not in pattern else None
+    return needed(pattern)
+
+
 def gate(text: Column, patterns: list[str], ignore_case: bool) -> Column:
     """Whether a text may match one of the patterns: never false where one matches."""
-    each = [needed(p.lower() if ignore_case else p) if not ignore_case or p.isascii() and "\\" not in p else None for p in patterns]
+    each = [_necessary(p, ignore_case) for p in patterns]
     if not patterns or None in each:
         return F.lit(bool(patterns))
     texts, t = frozenset().union(*each), F.lower(text) if ignore_case else text
@@ -89,9 +97,15 @@ def prescan(clauses: DataFrame, taxonomy: list = T.CATEGORIES) -> DataFrame:
     text, found = F.col("text"), []
     every = [s for c in taxonomy for s in c[6]]
     gated = once(clauses, _cased=gate(text, [p for p, ic in every if not ic], False), _uncased=gate(text, [p for p, ic in every if ic], True))
+
+    def may_match(p: str, ic: bool) -> Column:
+        out = F.col("_uncased" if ic else "_cased")
+        texts = _necessary(p, ic)
+        return out if texts is None else out & reduce(Column.__or__, ((F.lower(text) if ic else text).contains(t) for t in sorted(texts)))
+
     for pos, (name, _, _, baseline, _, _, patterns) in enumerate(taxonomy):
         if patterns:
-            firsts = F.array(*(F.when(F.col("_uncased" if ic else "_cased"), F.regexp_extract(text, ("(?i)" if ic else "") + p, 0)).otherwise("") for p, ic in patterns))
+            firsts = F.array(*(F.when(may_match(p, ic), F.regexp_extract(text, ("(?i)" if ic else "") + p, 0)).otherwise("") for p, ic in patterns))
             found.append(F.struct(F.lit(name).alias("category"), F.lit(pos).alias("cat_pos"), F.lit(baseline).alias("severity"), F.slice(F.filter(firsts, lambda m: m != ""), 1, K.KEPT_MATCHES).alias("m")))
     hits = F.when(F.col("_cased") | F.col("_uncased"), F.filter(F.array(*found), lambda s: F.size(s["m"]) > 0))
     # explode_outer, as the optimizer would evaluate all patterns once more to filter out rows without matches.
