@@ -443,3 +443,24 @@ def test_splitting_tree():
     q = np.array([10, 0, 7, 1000])
     t = mixing.split_quotas(q, 7)
     assert (t.sum(0) == q).all() and t.sum(1).max() - t.sum(1).min() <= 3
+
+
+def test_margins_come_from_all_learning_rows(spark):
+    """Long texts too, and more of a language than a sample of 400; those of the dictionaries are left out."""
+    r = random.Random(5)
+    words = {lang: ["".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(60)] for lang, letters in (("aa", "abcdefgh"), ("bb", "efghijkl"))}
+    rows = [(i, " ".join(r.choice(words["ab"[i % 2] * 2]) for _ in range(1200 if i % 3 == 0 else 12)), "ab"[i % 2] * 2) for i in range(2400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.learn(d, 20)
+    drawn = {x["doc_id"] for x in d.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 100_000).select("doc_id").collect()}  # no dictionary can hold more
+    held = {x["doc_id"] for x in d.where(langid.held_out(F.col("doc_id"))).select("doc_id").collect()}
+    margins, packers = langid.calibrate(d, learned, 20), {lang: langid.packer(x) for lang, x in learned.items()}
+    per: dict[int, list[int]] = {}
+    for i, t, lang in rows:
+        raw = langid.normalised(t)
+        sizes = {x: len(p.compress(raw)) for x, p in packers.items()}
+        if i not in held and i not in drawn and min(sizes, key=sizes.get) == lang:
+            per.setdefault(len(raw).bit_length(), []).append(max(sizes.values()) - min(sizes.values()))
+    assert {k for k, m in per.items() if len(m) >= langid.LEAST_CLASS} <= set(margins) and max(margins) >= 12
+    for k, m in margins.items():
+        assert abs(sum(x < m for x in per[k]) / len(per[k]) - langid.PER_MILLE / 1000) < 0.01, k
