@@ -12,7 +12,7 @@ from clauseflow.functions.modeljson import parse_udf
 from clauseflow.functions import display
 from clauseflow.operators import ask, history, model_analysis, normalize, report, retrieve, scan, segment, verify, websearch
 from clauseflow.plans.seeded import agreements
-from clauseflow.session import share_package
+from clauseflow.session import share_package, stored
 from clauseflow.sources import documents as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,8 +165,8 @@ def suggested_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _docs_for_report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = normalize.normalize_documents(agreements(spark, sf_dir))
-    c = segment.clauses(docs.select("doc_id", "text"))
+    docs = stored(normalize.normalize_documents(agreements(spark, sf_dir)).select("doc_id", "title", "text"))
+    c = stored(segment.clauses(docs.select("doc_id", "text")))
     counts = c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("clause_count"))
     info = docs.select("doc_id", "title", F.length("text").alias("chars")).join(counts, "doc_id", "left").withColumn("clause_count", F.coalesce("clause_count", F.lit(0)))
     return scan.findings(c), info
@@ -196,7 +196,7 @@ def highlight_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def highlight_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = normalize.normalize_documents(agreements(spark, sf_dir)).select("doc_id", "text")
+    docs = stored(normalize.normalize_documents(agreements(spark, sf_dir)).select("doc_id", "text"))
     spans = scan.merge_spans(scan.findings(segment.clauses(docs)), docs.select("doc_id", F.length("text").alias("length")))
     return report.highlighted(docs, spans).select("doc_id", F.md5("html").alias("html_md5"))
 
@@ -277,15 +277,15 @@ def kadane_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _raw_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Findings as a model would send them: as they are, with other marks, under a wrong clause, made up, empty, repeated."""
-    docs = normalize.normalize_documents(agreements(spark, sf_dir)).select("doc_id", "text")
-    c = segment.clauses(docs)
+    docs = stored(normalize.normalize_documents(agreements(spark, sf_dir)).select("doc_id", "text"))
+    c = stored(segment.clauses(docs))
     f = scan.findings(c).select("doc_id", "rank", "clause_id", "category", "severity", "quote", "title", "explanation", "impact", "advice", "hidden", "wording")
     def form(n: int, q: Column, c: Column) -> Column:
         return F.struct(F.lit(n).alias("form"), q.alias("q"), c.alias("c"))
 
     q, own = F.col("quote"), F.col("clause_id")
     forms = F.array(form(0, q, own), form(1, F.translate(q, "，。；", ",.;"), own), form(2, q, F.lit("c999")), form(3, F.concat(F.lit("编造的引文内容"), q), own), form(4, F.lit(" "), own))
-    raw = f.select("*", F.explode(forms).alias("x")).withColumn("ord", F.col("rank") * 10 + F.col("x.form"))
+    raw = stored(f).select("*", F.explode(forms).alias("x")).withColumn("ord", F.col("rank") * 10 + F.col("x.form"))
     return raw.select("doc_id", "ord", F.col("x.c").alias("clause_id"), F.upper("severity").alias("severity"), "category", F.col("x.q").alias("quote"), "title", "explanation", "impact", "advice", "hidden", "wording"), c, docs
 
 
