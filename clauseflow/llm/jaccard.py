@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauseflow.narrow import narrowed
+
 from .components import components
 from .repeats import NULL_ID
 from .scratch import discard, materialize, tune
@@ -259,7 +261,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     """The pairs (a, b) whose texts' sets are similar enough.
 
     A task gets the text of a, then those of at most about CHECKED of its partners, one after the other. So a text with very many
-    partners is sent once for each CHECKED of them, and its set is made as often.
+    partners is sent once for each CHECKED of them, and its set is made as often. Texts that no pair names are not moved, but for a few.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +283,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHECKED)).alias("parts"))
     salted = pairs.join(parts.where("parts > 1"), "a", "left").select(F.col("b").alias("rep"), "a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("salt"), "b")
     centres = parts.select(F.col("a").alias("rep"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
-    rows = texts.join(centres.unionByName(salted), "rep").select("a", "salt", "b", "text")
+    named = narrowed(texts, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), ["rep"])
+    rows = named.join(centres.unionByName(salted), "rep").select("a", "salt", "b", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
     return rows.mapInArrow(run, "a long, b long")
 
@@ -362,7 +365,8 @@ def _link(lists: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
     for turn in range(TURNS):
         # Centres are the smallest numbers first, as copies follow their originals, then others each time, by a hash. Parts
         # of long lists are mixed anew each time.
-        now = lists.join(labels, "rep").withColumn("g", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("parts")))
+        now = lists.join(labels, "rep") if turn else lists.withColumn("comp", F.col("rep"))
+        now = now.withColumn("g", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("parts")))
         rows = now.select("g", "h", "rep", "n", "comp", (F.xxhash64(F.lit(turn), "rep") if turn else F.col("rep")).alias("o")).repartition("h", "g").sortWithinPartitions("h", "g", "o")
         votes = rows.drop("o").mapInArrow(_propose(percent), "b long, n long, a long, v long").groupBy("b", "n", "a").agg(F.sum("v").alias("v"))
         # Few common lists promise little; what such a pair has in common is left to the pairs below.

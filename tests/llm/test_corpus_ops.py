@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from clauseflow.llm import jaccard, repeats, warc
 from clauseflow.llm.components import components
+from clauseflow.llm.scratch import materialize
+from clauseflow.narrow import narrowed, parted
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -282,3 +284,40 @@ def test_pipeline_near_duplicates_row_by_row(spark):
     assert len(one) == 1 and len(got) == len(want) + 1 and set(got) == {*want, *((None, t) for t in one)}
     plain = cp.near_duplicates(spark, d.where("doc_id IN (1, 3, 4, 6)"), "").collect()
     assert sorted((x["doc_id"], x["text"]) for x in plain) == [(1, text[5]), (3, text[8]), (6, text[9])]
+
+
+def _shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_outside_all_pairs_are_not_moved(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{rng.getrandbits(48):x}" for _ in range(60))) for i in range(3000)]
+    rows += [(5000 + i, rows[i][1] + " more") for i in range(20)]
+    texts = materialize(spark.createDataFrame(rows, "rep long, text string").repartition(2), "test-texts")
+    pairs = materialize(spark.createDataFrame([(i, 5000 + i) for i in range(20)] + [(7, 8)], "a long, b long"), "test-pairs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = _shuffled(spark)
+        found = {tuple(r) for r in jaccard._verify(pairs, texts, 4, 85).collect()}
+        moved = _shuffled(spark) - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {(i, 5000 + i) for i in range(20)}
+    assert 0 < moved < 0.1 * sum(len(t) for _, t in rows)
+
+
+def test_narrowed_keeps_all_keys_and_few_others(spark):
+    table = spark.range(20000).select("id", F.concat(F.lit("k"), "id").alias("s"))
+    for on in (["id"], ["id", "s"]):
+        keys = materialize(table.where("id % 40 = 3").select(*on), "test-keys")
+        inside, outside = parted(table, keys, on)
+        got = {r[0] for r in inside.collect()}
+        assert got >= set(range(3, 20000, 40)) and len(got) < 1500
+        assert {r[0] for r in outside.collect()} == set(range(20000)) - got
+        assert {r[0] for r in narrowed(table, keys, on).collect()} == got
+    none = materialize(table.where("id < 0").select("id"), "test-none")
+    assert narrowed(table, none, ["id"]).isEmpty()
