@@ -41,6 +41,8 @@ HEAVY = 1 << 16
 #: Largest size for which subsets are considered, and what a scanned list entry costs against an enumerated subset.
 MAX_LIGHT, SCAN_COST = 32, 2.0
 BUFFER = 1 << 20
+#: Bytes of texts whose words are held at once.
+TEXT_BYTES = 1 << 18
 #: A link is proposed at first where one in this many prefix elements leads to the same centre.
 PROPOSE = 4
 #: Rounds of proposals, and the length from which a list is scanned in parts.
@@ -77,7 +79,7 @@ def boundary(histogram: dict[int, int], percent: int = PERCENT) -> int:
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[list[np.ndarray]]:
     """Blocks of sorted distinct shingle hashes, one array per text; fewer than k words make one shingle."""
-    for lo, hi, data, off in text_chunks(texts):
+    for lo, hi, data, off in text_chunks(texts, TEXT_BYTES):
         data = LOWER[data]
         starts, ends, row = words(data, off, SPACED)
         h, bounds = word_hashes(data, starts, ends), word_bounds(row, hi - lo)

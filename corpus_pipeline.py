@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clauseflow.llm import decontaminate, jaccard, langid, mixing, secrets
 from clauseflow.llm.scratch import materialize
+from clauseflow.narrow import parted
 
 #: Near duplicates: word shingles of five words, similarity of at least 80 %.
 SHINGLE, PERCENT = 5, 80
@@ -33,9 +34,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = _told_apart(docs)
     same = jaccard.similar_documents(keyed.select(F.col("_key").alias("doc_id"), "text"), SHINGLE, PERCENT)
     members = same.select(F.col("doc_id").alias("_key"), "component_id").distinct().join(keyed.select("_key", "doc_id").distinct(), "_key")
+    members = materialize(members, "near-members")
     kept = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first")).select(F.col("first._key").alias("_key"))
+    # Keys that go, and keys of several rows; no row of another key is moved, but for a few.
+    gone = materialize(members.join(kept, "_key", "left_anti").select("_key", F.lit(True).alias("_gone")), "near-gone")
+    several = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key", F.lit(False).alias("_gone"))
+    judged = materialize(gone.unionByName(several).groupBy("_key").agg(F.max("_gone").alias("_gone")), "near-judged")
+    maybe, others = parted(keyed, judged.select("_key"), ["_key"])
     order = Window.partitionBy("_key").orderBy(*(c for c in ("source", "lang") if c in docs.columns), "text")
-    return keyed.join(kept, "_key", "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(*docs.columns)
+    left = maybe.join(judged.where("_gone"), "_key", "left_anti").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
+    return left.select(*docs.columns).unionByName(others.select(*docs.columns))
 
 
 def _told_apart(docs: DataFrame) -> DataFrame:
