@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .scratch import tune
+from .scratch import lean, tune
 from .wordhash import ALNUM, LOWER, U, text_chunks, word_bounds, word_hashes, words
 
 WINDOW = 10
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Benchmark text (bytes) that goes to the workers at once; a larger benchmark takes several passes.
 BLOCK_BYTES = 8 << 20
 FOUND = "n_words long, hits array<struct<start:int,end:int>>, matches array<struct<item:string,longest:int,start:int,item_start:int>>"
@@ -223,7 +223,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], text: str) -> DataFrame
             out[n_at], out[hits_at], out[matches_at] = pa.array(np.concatenate(counts)), pa.array(hits, _HITS), pa.array(matches, _MATCHES)
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ from clauseflow.narrow import narrowed
 
 from .components import components
 from .repeats import NULL_ID
-from .scratch import discard, materialize, tune
+from .scratch import discard, lean, materialize, tune
 from .wordhash import LOWER, SPACED, U, mix, run_hashes, text_chunks, window_hashes, word_bounds, word_hashes, words
 
 SHINGLE, PERCENT = 4, 85
@@ -288,7 +288,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     named = narrowed(texts, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")), ["rep"])
     rows = named.join(centres.unionByName(salted), "rep").select("a", "salt", "b", "text")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").isNotNull())
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -300,7 +300,7 @@ def similar_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     """
     tune(docs.sparkSession)
     keyed = _keyed(docs)
-    sets = materialize(keyed.mapInArrow(_describe(k), "doc_id long, n long, d long, digest binary"), "sets")
+    sets = materialize(keyed.mapInArrow(lean(_describe(k)), "doc_id long, n long, d long, digest binary"), "sets")
     firsts = materialize(sets.where("n > 0").groupBy("digest", "d").agg(F.min("doc_id").alias("doc")), "set-firsts")
     # Ids of several rows; with different sets, their sets go by half a digest, as the id names none of them.
     ids = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), (F.min("d") != F.max("d")).alias("shared"))
@@ -336,7 +336,7 @@ def _texts(keyed: DataFrame, firsts: DataFrame, repeated: DataFrame, k: int) ->
             halves = [int.from_bytes(_digest(s)[:8], "little", signed=True) for block in shingle_sets(b.column(1), k) for s in block]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(halves, pa.int64()), b.column(1)], names=["doc_id", "d", "text"])
 
-    several = rows.mapInArrow(run, "doc_id long, d long, text string").join(names, ["doc_id", "d"])
+    several = rows.mapInArrow(lean(run), "doc_id long, d long, text string").join(names, ["doc_id", "d"])
     return own.unionByName(several.groupBy("rep").agg(F.min("text").alias("text")))
 
 
@@ -344,13 +344,13 @@ def _lists(keyed: DataFrame, base: DataFrame, firsts: DataFrame, k: int, percent
     """Lists with several sets: h, rep, n, and the number of parts that the list is scanned in."""
     histogram = {r["n"]: r["count"] for r in base.where(F.col("n").between(1, 2 * MAX_LIGHT)).groupBy("n").count().collect()}
     light = boundary(histogram, percent)
-    counted = keyed.select("text").mapInArrow(_count(k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = keyed.select("text").mapInArrow(lean(_count(k)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "h").limit(HEAVY).collect()  # at most HEAVY rows
     heavy, rank = np.array([r["h"] for r in top], np.int64).view(U), np.array([r["n"] for r in top], np.int64)
     order = np.argsort(heavy)
     heavy, rank = heavy[order], rank[order]
-    entries = keyed.select("text").mapInArrow(_index(k, percent, light, heavy, rank), "k long, h long, d long, n long, often boolean")
-    shared = entries.repartition("k").sortWithinPartitions("k", "d").mapInArrow(_shared, "h long, d long, n long, often boolean")
+    entries = keyed.select("text").mapInArrow(lean(_index(k, percent, light, heavy, rank)), "k long, h long, d long, n long, often boolean")
+    shared = entries.repartition("k").sortWithinPartitions("k", "d").mapInArrow(lean(_shared), "h long, d long, n long, often boolean")
     shared = materialize(shared, "set-shared")
     # Should two sets share half a digest, both stand in all of its lists: checks on texts decide anyway.
     lists = materialize(shared.join(firsts.select("d", "rep"), "d").select("h", "rep", "n", "often"), "set-lists")
@@ -370,7 +370,7 @@ def _link(lists: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
         now = lists.join(labels, "rep") if turn else lists.withColumn("comp", F.col("rep"))
         now = now.withColumn("g", F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("parts")))
         rows = now.select("g", "h", "rep", "n", "comp", (F.xxhash64(F.lit(turn), "rep") if turn else F.col("rep")).alias("o")).repartition("h", "g").sortWithinPartitions("h", "g", "o")
-        votes = rows.drop("o").mapInArrow(_propose(percent), "b long, n long, a long, v long").groupBy("b", "n", "a").agg(F.sum("v").alias("v"))
+        votes = rows.drop("o").mapInArrow(lean(_propose(percent)), "b long, n long, a long, v long").groupBy("b", "n", "a").agg(F.sum("v").alias("v"))
         # Few common lists promise little; what such a pair has in common is left to the pairs below.
         votes = votes.where((F.col("n") <= MAX_LIGHT) | (PROPOSE * F.col("v") >= _prefix_size(F.col("n"), percent)))
         if tried is not None:
@@ -400,7 +400,7 @@ def _across(lists: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     blocks = blocks.select("h", "block", F.transform("x", lambda x: x["rep"]).alias("reps"), F.transform("x", lambda x: x["n"].cast("int")).alias("ns"))
     scans = rows.where("scans").select("h", F.col("rep").alias("a"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     scans = scans.join(blocks, ["h", "block"]).select("a", "m", F.expr("h & 1 = 1").alias("subset"), "reps", "ns")
-    met = scans.repartition("a").sortWithinPartitions("a").mapInArrow(_scan(percent), "a long, b long")
+    met = scans.repartition("a").sortWithinPartitions("a").mapInArrow(lean(_scan(percent)), "a long, b long")
     of = lambda side: order.select(F.col("rep").alias(side), F.col("place").alias(f"p{side}"))
     pairs = materialize(met.join(of("a"), "a").join(of("b"), "b").where("pa < pb AND pa.comp != pb.comp").select("a", "b"), "set-across")
     discard(order, leads, rows)

@@ -16,7 +16,8 @@ sums, and only the blocks of one bin are ordered against each other.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import discard, materialize
@@ -95,6 +96,11 @@ def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
             return int(x[hits[0]])
 
 
+def _local(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
+    """A small table that goes to the JVM as Arrow data, and starts no Python on executors as one from a list of rows would."""
+    return spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(types.items())}))
+
+
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, shards: int = 16, seed: int = SEED) -> DataFrame:
     """The plan of the mix, one row per document: doc_id, source, size, source_size, target, taken, u and shards.
 
@@ -114,7 +120,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, shards:
     want = targets({s: per[s][0] for s in names}, weights or default_weights(names))
     passes = {s: int(want[s] // per[s][0]) if per[s][0] else 0 for s in names}
     rows = [(s, per[s][0], per[s][1], want[s], passes[s], round(want[s]) - passes[s] * per[s][0], -(-per[s][1] // BIN_BLOCKS)) for s in names]
-    plan = spark.createDataFrame(rows, "p_source string, source_size long, source_blocks long, target double, passes int, part_words long, bins long")
+    plan = _local(spark, rows, p_source=pa.string(), source_size=pa.int64(), source_blocks=pa.int64(), target=pa.float64(), passes=pa.int32(), part_words=pa.int64(), bins=pa.int64())
     same = lambda of: F.col("source").eqNullSafe(F.col(of))
     whole = base.where("size > 0").join(plan.select("p_source", "bins"), same("p_source")).drop("p_source")
     each = whole.select("row", "source", "u", "bins", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / BLOCK))).alias("block"))
@@ -133,7 +139,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, shards:
     extra = {r["source"]: int(r["n"]) for r in ordered.where("left > 0").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     quotas = np.array([passes[s] * per[s][1] + extra.get(s, 0) for s in names], np.int64)
     ends = np.cumsum(split_quotas(quotas, shards, seed), axis=0) if names else np.zeros((shards, 0), np.int64)
-    draws = spark.createDataFrame([(s, [int(x) for x in ends[:, i]]) for i, s in enumerate(names)], "d_source string, ends array<long>")
+    draws = _local(spark, [(s, [int(x) for x in ends[:, i]]) for i, s in enumerate(names)], d_source=pa.string(), ends=pa.list_(pa.int64()))
 
     def draw(p: Column) -> Column:
         """This block's draw in one pass: the shard whose run of the source's order it falls into."""

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .scratch import plus, tune
+from .scratch import lean, plus, tune
 from .wordhash import LOWER, SPACED, text_chunks, word_bounds, word_hashes, words
 
 # The three forms and their least lengths; letters in front of an assignment count in either case.
@@ -28,6 +28,8 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 _NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 MODEL = "model"
 MASK = "[SECRET]"
+#: Bytes of texts whose tokens are scored at once.
+TEXT_BYTES = 1 << 18
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -137,7 +139,7 @@ def _bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndar
 def batch_spans(texts: pa.Array, tables: crf.Tables) -> list[list[dict]]:
     out: list[list[dict]] = []
     names = (*KINDS, MODEL)
-    for lo, hi, data, off in text_chunks(texts):
+    for lo, hi, data, off in text_chunks(texts, TEXT_BYTES):
         starts, ends, row = words(data, off, SPACED)
         bounds = word_bounds(row, hi - lo)
         lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
@@ -185,7 +187,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     tune(docs.sparkSession)
     learned = docs.sparkSession.sparkContext.broadcast(crf.trained())  # some thousand weights
     only = docs.select(*(F.col(f"`{c}`") for c in keep))
-    return only.mapInArrow(run, plus(only.schema, f"secrets {SPANS}"))
+    return only.mapInArrow(lean(run), plus(only.schema, f"secrets {SPANS}"))
 
 
 def listed(spans: Column) -> Column:

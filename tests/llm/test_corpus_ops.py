@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from clauseflow.llm import jaccard, repeats, warc
+from clauseflow.llm import jaccard, mixing, repeats, secrets, warc
 from clauseflow.llm.components import components
 from clauseflow.llm.scratch import materialize
 from clauseflow.narrow import narrowed, parted
@@ -321,3 +321,37 @@ def test_narrowed_keeps_all_keys_and_few_others(spark):
         assert {r[0] for r in narrowed(table, keys, on).collect()} == got
     none = materialize(table.where("id < 0").select("id"), "test-none")
     assert narrowed(table, none, ["id"]).isEmpty()
+
+
+def _held_by_workers(spark):
+    """MB that the largest of Spark's Python workers holds between tasks."""
+
+    def run(batches):
+        import time
+        from pathlib import Path
+
+        for b in batches:
+            time.sleep(0.3)  # so that each worker gets a task
+            held = re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())
+            yield pa.RecordBatch.from_arrays([pa.array([int(x) / 1024 for x in held])], names=["mb"])
+
+    return spark.range(0, 4, 1, 4).mapInArrow(run, "mb double").agg(F.max("mb")).first()[0]
+
+
+def test_workers_give_back_memory(spark):
+    rng = random.Random(9)
+    few = spark.createDataFrame([(i, "token = abc") for i in range(8)], "doc_id long, text string").repartition(4)
+    words = [f"{rng.getrandbits(44):x}" for _ in range(60_000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(240))) for i in range(4000)]
+    many = materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "test-texts")
+    redacted = lambda d: secrets.redact(d).agg(F.sum(F.length("text"))).first()
+    redacted(few)
+    before = _held_by_workers(spark)
+    redacted(many)
+    assert _held_by_workers(spark) - before < 60
+
+
+def test_mix_starts_no_python_on_executors(spark):
+    d = spark.createDataFrame([(1, "a b", "x"), (2, "c", None)], "doc_id long, text string, source string")
+    plan = mixing.mix(materialize(d, "test-mix"))
+    assert plan.count() == 2 and "ExistingRDD" not in plan._jdf.queryExecution().toString()
