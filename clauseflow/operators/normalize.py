@@ -50,14 +50,13 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
+# Marks that count as the same.
+_SAME = str.maketrans({c: one for same, one in (("“”\"'‘’`", '"'), ("，,", ","), ("。．.", "."), ("；;", ";"), ("：:", ":"), ("（(", "("), ("）)", ")"), ("—–－-", "-")) for c in same} | {"\ufeff": None})
+
+
 def fingerprint(s: str | None) -> str:
     """What counts of a text when quotes are compared: compatibility form, no blanks, one form of each mark, lower case."""
-    out = "".join(c for c in unicodedata.normalize("NFKC", s or "") if not c.isspace() and c != "﻿")
-    # Marks that count as the same.
-    for same, one in (("“”\"'‘’`", '"'), ("，,", ","), ("。．.", "."), ("；;", ";"), ("：:", ":"), ("（(", "("), ("）)", ")"), ("—–－-", "-")):
-        for c in same:
-            out = out.replace(c, one)
-    return out.lower()
+    return "".join(unicodedata.normalize("NFKC", s or "").split()).translate(_SAME).lower()
 
 
 @F.pandas_udf(StringType())

@@ -146,15 +146,16 @@ def findings(clauses: DataFrame, taxonomy: list = T.CATEGORIES) -> DataFrame:
     quoted = with_sentence(hits, "text", "m", "i")
     dim = F.broadcast(categories(clauses.sparkSession, taxonomy).drop("pos", "baseline", "grp"))  # one row per category
     order = Window.partitionBy("doc_id").orderBy("sev", "start", "idx", "cat_pos")
-    out = quoted.join(dim, "category").withColumn("sev", severity_rank(F.col("severity"))).withColumn("from", F.col("start") + F.col("quote_start"))
-    out = out.select(
+    # What a category says follows once hits are numbered, so that it isn't shuffled with them.
+    out = quoted.withColumn("sev", severity_rank(F.col("severity"))).withColumn("start", (F.col("start") + F.col("quote_start")).cast("int"))
+    out = out.select("doc_id", "clause_id", "heading", "category", "severity", "quote", "matches", "start", "sev", "idx", "cat_pos")
+    out = out.withColumn("rank", F.row_number().over(order)).join(dim, "category")
+    return out.select(
         "doc_id", "clause_id", F.col("heading").alias("clause_heading"), "category", "severity", "quote", F.col("label").alias("title"), F.col("what").alias("explanation"),
-        F.col("why").alias("impact"), "advice", F.lit(False).alias("hidden"), F.col("matches").alias("wording"), F.col("from").cast("int").alias("start"),
-        (F.col("from") + F.length("quote")).cast("int").alias("end"), F.lit("exact").alias("match_type"), F.lit(False).alias("cross_clause"), F.lit(True).alias("verified"),
-        F.lit("rule").alias("detected_by"), "sev", "idx", "cat_pos",
+        F.col("why").alias("impact"), "advice", F.lit(False).alias("hidden"), F.col("matches").alias("wording"), "start",
+        (F.col("start") + F.length("quote")).cast("int").alias("end"), F.lit("exact").alias("match_type"), F.lit(False).alias("cross_clause"), F.lit(True).alias("verified"),
+        F.lit("rule").alias("detected_by"), "rank", F.concat(F.lit("f"), F.col("rank").cast("string")).alias("finding_id"),
     )
-    out = out.withColumn("rank", F.row_number().over(order)).withColumn("finding_id", F.concat(F.lit("f"), F.col("rank").cast("string")))
-    return out.drop("sev", "idx", "cat_pos")
 
 
 def filter_findings(found: DataFrame, severity: str = "all", hidden_only: bool = False, contains: str = "", taxonomy: list = T.CATEGORIES) -> DataFrame:

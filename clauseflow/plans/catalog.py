@@ -277,8 +277,8 @@ def kadane_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _raw_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Findings as a model would send them: as they are, with other marks, under a wrong clause, made up, empty, repeated."""
-    docs = stored(normalize.normalize_documents(agreements(spark, sf_dir)).select("doc_id", "text"))
-    c = stored(segment.clauses(docs))
+    whole = stored(segment.with_clauses(normalize.normalize_documents(agreements(spark, sf_dir)).select("doc_id", "text")))
+    docs, c = whole.select("doc_id", "text"), segment.unfold(whole)
     f = scan.findings(c).select("doc_id", "rank", "clause_id", "category", "severity", "quote", "title", "explanation", "impact", "advice", "hidden", "wording")
     def form(n: int, q: Column, c: Column) -> Column:
         return F.struct(F.lit(n).alias("form"), q.alias("q"), c.alias("c"))
@@ -289,15 +289,20 @@ def _raw_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return raw.select("doc_id", "ord", F.col("x.c").alias("clause_id"), F.upper("severity").alias("severity"), "category", F.col("x.q").alias("quote"), "title", "explanation", "impact", "advice", "hidden", "wording"), c, docs
 
 
+def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw, c, docs = _raw_findings(spark, sf_dir)
+    return verify.verify_findings(raw.select("doc_id", "ord", "clause_id", "category", "severity", "quote"), c, docs, hugging=True)
+
+
 @query
 def quote_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = verify.verify_findings(*_raw_findings(spark, sf_dir))
+    v = _verified(spark, sf_dir)
     return v.select("doc_id", "ord", "finding_id", "clause_id", "category", "severity", "quote", "start", "end", "match_type", "status")
 
 
 @query
 def quote_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verify.verification_counts(verify.verify_findings(*_raw_findings(spark, sf_dir)))
+    return verify.verification_counts(_verified(spark, sf_dir))
 
 
 @query
